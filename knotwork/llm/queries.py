@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import bpe_codec, packing, sorted_tables, url_filters
+from knotwork.llm import bpe_codec, packing, quality_rules, secret_scans, sorted_tables, url_filters
 from knotwork.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,16 @@ def op8_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = sorted_tables.tokenizer_encoder(public_tokenizers.path("word_bpe_49k.json"), spaced=True)
     shards = sorted_tables.write_shards(table(spark, sf_dir, "documents"), fresh_path(spark, "sst"), encoder)
     return sorted_tables.read_shards(spark, shards, with_ids=False)
+
+
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    found = quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    return secret_scans.scan(table(spark, sf_dir, "documents"))
