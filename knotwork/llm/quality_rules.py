@@ -42,7 +42,7 @@ class QualityLimits:
     fence: float = 6.0
     least_group: int = 200
     sketch_size: int = 800
-    floors: tuple[tuple[str, float], ...] = (("symbols", 0.10), ("dup_lines", 0.50), ("repeats", 0.25), ("word_length", 12.0))
+    floors: tuple[tuple[str, float], ...] = (("symbols", 0.05), ("dup_lines", 0.50), ("repeats", 0.25), ("word_length", 12.0))
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:

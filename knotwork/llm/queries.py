@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from knotwork.llm import bpe_codec, packing, quality_rules, secret_scans, sorted_tables, url_filters
+from knotwork.llm import bpe_codec, exact_search, packing, quality_rules, secret_scans, sorted_tables, url_filters
 from knotwork.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text."""
     return secret_scans.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for every hundredth."""
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
