@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import bpe_codec, exact_search, packing, quality_rules, secret_scans, sorted_tables, url_filters
+from knotwork.llm import bpe_codec, exact_search, jaccard_join, packing, quality_rules, secret_scans, sorted_tables, url_filters
 from knotwork.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of all vectors for every hundredth."""
     return exact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@_query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that share 85 % of their 4-word shingles, by links."""
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
