@@ -105,7 +105,7 @@ class Packer:
         self.held = []
 
 
-def pack(df: DataFrame, tokenizer_file: str, spaced: bool = False, end_id: int = 1, capacity: int = 2048, group: int = 1024, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, tokenizer_file: str, spaced: bool = False, end_id: int = 1, capacity: int = 2048, group: int = 512, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """Pieces of windows: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (unless with_ids is false).
 
     spaced: the tokenizer drops white space. group: how many remainders are dealt together; a window never holds pieces
