@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import bpe_codec, exact_search, jaccard_join, packing, quality_rules, repeat_removal, secret_scans, sorted_tables, url_filters
+from knotwork.llm import bpe_codec, exact_search, jaccard_join, lm_scoring, packing, quality_rules, repeat_removal, secret_scans, sorted_tables, url_filters
 from knotwork.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the bytes that lie in a repeated string of 200."""
     return repeat_removal.removal_digests(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every text."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
