@@ -44,17 +44,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors.
-
-    free: let the driver collect its garbage afterwards. Spark removes the shuffle files of a finished job only when the
-    driver has dropped its plan, and a plan that shuffled much should not hold the executors' disks during the next.
-    """
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     path = fresh_path(df.sparkSession, label)
-    spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
-    if free:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of finished jobs, to be called once their DataFrames are out of reach.
+
+    Spark removes them when the driver has collected their plans as garbage, which may be late; a job that shuffled much
+    should not hold the executors' disks while the next one runs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
