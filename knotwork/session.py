@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,5 +58,7 @@ def release(spark: SparkSession) -> None:
     Spark removes them when the driver has collected their plans as garbage, which may be late; a job that shuffled much
     should not hold the executors' disks while the next one runs.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of on the Python side, the second finds free on the other
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
