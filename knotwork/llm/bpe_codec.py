@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -63,7 +64,7 @@ def encode_column(df: DataFrame, rank_file: str, pattern: str, text: str = "text
     """Adds the ids of a text column as array<int>."""
 
     @F.pandas_udf("array<int>")
-    def run(batches: Iterator) -> Iterator:  # noqa: ANN401
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = encoding(rank_file, pattern)
         for values in batches:
             yield values.map(lambda x: encode(x or "", codec))
@@ -75,7 +76,7 @@ def decode_column(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids",
     """Adds the raw bytes of a column of ids; null ids give no bytes."""
 
     @F.pandas_udf("binary")
-    def run(batches: Iterator) -> Iterator:  # noqa: ANN401
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = encoding(rank_file, pattern)
         for values in batches:
             yield values.map(lambda x: decode([] if x is None else list(x), codec))

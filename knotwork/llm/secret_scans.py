@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -316,7 +317,7 @@ def redact(df: DataFrame, rules: tuple[SecretRule, ...] = DEFAULT_RULES, text: s
         return "".join([*out, value[at:]])
 
     @F.pandas_udf("string")
-    def run(batches: Iterator) -> Iterator:  # noqa: ANN401
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
             yield values.map(masked)
 
