@@ -211,7 +211,7 @@ def _hashed(contexts: DataFrame, least: int) -> DataFrame:
     return starts.select("gram", "context", F.flatten(F.zip_with(edge, stop, lambda a, b: F.array(a, b))).alias("runs"))
 
 
-def repeated_runs(df: DataFrame, least: int = 200, gram: int = 40, shard_bytes: int = 2 << 20, most_contexts: int = 1000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_runs(df: DataFrame, least: int = 200, gram: int = 40, shard_bytes: int = 2 << 20, most_contexts: int = 1 << 14, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(rid, runs): for each text with repeats, by the hash of id and text, begin and end of its runs of repeated starts."""
     keyed = _keyed(df, key, text)
     rows = materialize(_anchor_rows(keyed, least, gram, text), "anchors")
