@@ -480,3 +480,21 @@ def test_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.element_at(F.array(*(F.lit(x) for x in ("Tests", "src", "spec", "lib"))), (F.col("page_id") % 4 + 1).cast("int"))
     path = F.concat(F.lit("app/"), folder, "path", F.when(F.col("page_id") % 5 == 0, "Test.php").otherwise(".php"))
     return tables.page_paths(spark, sf_dir).select("page_id", is_test_path(path).alias("is_test"))
+
+
+@_query("""with rows as (select 'user:' || user_id as source, 'dispatches' as relation, 'event:' || event_type as target, case event_id % 3 when 0 then 'EXTRACTED' when 1 then 'INFERRED' else 'AMBIGUOUS' end as confidence, (event_id % 50)::int as line, event_id as seq from events)
+select source, relation, target, arg_min(confidence, seq) as confidence, coalesce(array_to_string(list_sort(list(distinct line) filter (line <> 0)), ','), '') as lines from rows group by all""")
+def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as facts, folded in by a stream in batches: the edges of a full build."""
+    from knotwork.session import fresh_path
+    from knotwork.streaming.incremental import current_edges, fold_in
+
+    confidence = F.element_at(F.array(*(F.lit(c) for c in graph.CONFIDENCES)), (F.col("event_id") % 3 + 1).cast("int"))
+    facts = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("source"), F.lit("dispatches").alias("relation"), F.concat(F.lit("event:"), "event_type").alias("target"), confidence.alias("confidence"),
+        (F.col("event_id") % 50).cast("int").alias("line"), F.lit(None).cast("string").alias("via"), F.col("event_id").alias("seq"),
+    )
+    incoming, state, marks = (fresh_path(spark, x) for x in ("facts", "state", "stream"))
+    facts.repartition(3, "seq").write.parquet(incoming)
+    fold_in(spark, incoming, state, marks)
+    return current_edges(spark, state).select("source", "relation", "target", "confidence", F.array_join("lines", ",").alias("lines"))
