@@ -81,3 +81,42 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of every text."""
     return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL["op2_jaccard_join"] = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, unnest(list_distinct(case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end)) as sh from w),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+ways as (select a, b from links union all select b, a from links),
+reached(id, r) as (select doc_id, doc_id from documents union select reached.id, ways.b from reached join ways on reached.r = ways.a),
+least as (select id, min(r) as component_id from reached group by id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id from documents d left join n using (doc_id) join least on id = d.doc_id"""
+
+ORACLE_SQL["op6_exact_search"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores) where rank <= 10"""
+
+
+def _url_sql() -> str:
+    """The rules and the vocabulary as SQL."""
+    rules, words = sorted(url_filters.CONTRACT_RULES, key=lambda r: -len(r.name)), url_filters.DEFAULT_VOCABULARY
+    fits = [f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')" for r in rules]
+
+    def has(terms: str) -> str:
+        return f"regexp_matches(lower(url), '(^|[^a-z0-9])({terms})($|[^a-z0-9])')"
+
+    hits = " + ".join(f"{has(t)}::int" for t, _ in words.soft)
+    weight = " + ".join(f"{w} * {has(t)}::int" for t, w in words.soft)
+    return f"""
+with r as (select page_id, url, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, url, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+m as (select *, case {" ".join(f"when {f} then '{r.name}'" for f, r in zip(fits, rules, strict=True))} end as rule, case {" ".join(f"when {f} then '{r.verdict}'" for f, r in zip(fits, rules, strict=True))} end as ruled from p)
+select page_id, host, path, rule, coalesce(ruled, case when {has("|".join(words.strict))} or ({hits} >= {words.soft_hits} and {weight} >= {words.soft_weight}) then 'block' else 'allow' end) as verdict from m"""
+
+
+ORACLE_SQL["op5_url_filters"] = _url_sql()
