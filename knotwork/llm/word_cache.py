@@ -61,14 +61,18 @@ class CachedTokenizer:
         seen = self.folded(text).encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
+    def spelled(self, part: str) -> bytes:
+        """The ids of a part, worked out."""
+        text = self.shown(part)
+        if text[:1] == "\n" and len(text) > 1:
+            return self.encoded("\n") + self.plain_or_not(text[1:], 0, part)
+        return self.plain_or_not(text, text[:1] == " ", part)
+
     def found(self, part: str) -> bytes:
+        """The ids of a part, known or worked out."""
         ids = self.young.get(part) or self.old.get(part)
         if ids is None:
-            text = self.shown(part)
-            if text[:1] == "\n" and len(text) > 1:
-                ids = self.encoded("\n") + self.plain_or_not(text[1:], 0, part)
-            else:
-                ids = self.plain_or_not(text, text[:1] == " ", part)
+            ids = self.spelled(part)
             if len(part) > LONGEST:
                 return ids
         if len(self.young) >= ENTRIES:
