@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: A worker keeps two generations of parts: a full younger one becomes the older one, and what is used again moves back.
-ENTRIES, LONGEST = 800_000, 64
+ENTRIES, LONGEST = 600_000, 64
 #: A word of Latin letters alone: stable under NFC, with one lower-case form each, and never split before the BPE model.
 _PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ƺ]+")
 _STOPS = frozenset(".,;:!?")
