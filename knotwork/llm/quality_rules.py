@@ -148,10 +148,20 @@ def judge(measured: DataFrame, limits: QualityLimits, bounds: DataFrame) -> Data
 def apply_rules(df: DataFrame, limits: QualityLimits = QualityLimits(), text: str = "text") -> DataFrame:  # noqa: B008
     """df with MEASURES, base_failed and kept; df needs lang and source."""
     measured = measure(df, limits.window, text)
-    slim = measure(df.select("lang", "source", F.col(f"`{text}`")), limits.window, text).drop(text)
+    # written first: a filter over the measures would be pushed below them, and they worked out anew for each use
+    slim = materialize(measure(df.select("lang", "source", F.col(f"`{text}`")), limits.window, text).drop(text), "quality-measures")
     return judge(measured, limits, thresholds(slim, limits))
 
 
+def keep_good(df: DataFrame, limits: QualityLimits = QualityLimits(), text: str = "text") -> DataFrame:  # noqa: B008
+    """The rows of df that are kept, with their own columns.
+
+    The verdict is asked for as one whole, so that no part of it is pushed below the measures, where the optimizer would
+    put their definitions into the filter.
+    """
+    return apply_rules(df, limits, text).where(F.exists(F.array("kept"), lambda x: x)).select(df.columns)
+
+
 def verdicts(df: DataFrame, limits: QualityLimits = QualityLimits(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """The verdicts without the texts: the measures are written once and serve both the sketches and the join."""
     slim = measure(df.select(F.col(f"`{key}`"), "lang", "source", F.col(f"`{text}`")), limits.window, text).drop(text)
