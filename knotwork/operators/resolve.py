@@ -141,3 +141,31 @@ def untested(nodes: DataFrame, edges: DataFrame, is_test: Column) -> DataFrame:
     """(id, tested, used): whether tests, and whether other code, have edges to a node. is_test is over the column source."""
     uses = edges.select("target", is_test.alias("test")).groupBy(F.col("target").alias("id")).agg(F.max("test").alias("tested"), F.max(~F.col("test")).alias("used"))
     return nodes.select("id").join(uses, "id", "left").select("id", F.coalesce("tested", F.lit(False)).alias("tested"), F.coalesce("used", F.lit(False)).alias("used"))
+
+
+def tagged_classes(tags: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tag, class): tags(tag, kind, value) name a class (id), a namespace (prefix) or what classes must be (instanceof).
+
+    Namespaces are joined with every prefix of a class's namespace, ancestors with the closure: no comparison of all pairs.
+    """
+    by_id = tags.where("kind = 'id'").join(classes.select(F.col("id").alias("value"), F.col("id").alias("class")), "value")
+    parts = F.split("id", r"\\")
+    prefixes = classes.select(F.col("id").alias("class"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "\\"))).alias("value")).where("class <> value")
+    by_prefix = tags.where("kind = 'prefix'").withColumn("value", F.rtrim("value", F.lit("\\"))).join(prefixes, "value")
+    above = closure(edges, ("extends", "implements", "uses_trait")).select(F.col("start").alias("class"), F.col("id").alias("value"))
+    by_kind = tags.where("kind = 'instanceof'").join(above, "value").join(classes.select(F.col("id").alias("class")), "class", "left_semi")
+    return by_id.select("tag", "class").union(by_prefix.select("tag", "class")).union(by_kind.select("tag", "class")).distinct()
+
+
+def match_operations(operations: DataFrame, routes: DataFrame) -> DataFrame:
+    """(operation, route): paths of one shape, whatever their placeholders are called, methods that agree, and one service.
+
+    A route without method takes all; an operation without service fits routes of any.
+    """
+    def shape(c: str) -> Column:
+        return F.regexp_replace(F.concat(F.lit("/"), F.array_join(path_segments(F.col(c)), "/")), r"\{[^}]*\}", "{}")
+
+    o = operations.select("operation", F.col("method").alias("_m"), F.col("service").alias("_s"), shape("path").alias("shape"))
+    r = routes.select("route", "method", "service", shape("path").alias("shape"))
+    fits = (F.col("method").isNull() | (F.col("method") == F.col("_m"))) & (F.col("_s").isNull() | F.col("service").eqNullSafe(F.col("_s")))
+    return o.join(r, "shape").where(fits).select("operation", "route")

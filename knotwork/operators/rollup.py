@@ -171,3 +171,33 @@ def dependency_breaches(edges: DataFrame, rules: list[DependencyRule]) -> DataFr
 def new_violations(found: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Violations that the baseline does not hold."""
     return found.join(baseline.select(*keys), keys, "left_anti")
+
+
+def suffix_counts(names: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """(suffix, classes) of names(name): the first suffix that a name ends with and is not itself."""
+    found = F.lit(None).cast("string")
+    for suffix in reversed(suffixes):
+        found = F.when(F.col("name").endswith(suffix) & (F.col("name") != suffix), suffix).otherwise(found)
+    return names.select(found.alias("suffix")).where("suffix is not null").groupBy("suffix").agg(F.count(F.lit(1)).alias("classes"))
+
+
+def common_roots(ids: DataFrame, *by: str) -> DataFrame:
+    """(by, root): the namespace that all ids of a group share. What the least and the greatest have in common, all have."""
+    parts = ids.select(*by, namespace_of(F.col("id")).alias("parts")).groupBy(*by).agg(F.min("parts").alias("low"), F.max("parts").alias("high"))
+    same = F.transform(F.sequence(F.lit(0), F.least(F.size("low"), F.size("high"))), lambda k: F.when(F.slice("low", 1, k) == F.slice("high", 1, k), k))
+    return parts.select(*by, F.array_join(F.slice("low", 1, F.array_max(same)), "\\").alias("root"))
+
+
+def route_groups(paths: DataFrame, most: int = 60) -> DataFrame:
+    """(prefix, routes) of paths(path): by first segment, and by the first two where a group is larger than most."""
+    parts = F.filter(F.split("path", "/"), lambda s: s != "")
+    cut = paths.select(F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("one"), F.array_join(F.slice(parts, 1, 2), "/").alias("two"))
+    sizes = cut.groupBy("one").agg(F.count(F.lit(1)).alias("n"))
+    prefix = F.when(F.col("n") > most, F.col("two")).otherwise(F.col("one"))
+    return cut.join(sizes, "one").groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("routes"))
+
+
+def fingerprints(rows: DataFrame, *by: str, value: str = "value") -> DataFrame:
+    """(by, fingerprint, rows): a digest of a group's values that no order changes, added up in each task before the shuffle."""
+    part = F.conv(F.substring(F.md5(F.col(value).cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.groupBy(*by).agg(F.sum(part).alias("fingerprint"), F.count(F.lit(1)).alias("rows"))

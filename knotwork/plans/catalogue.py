@@ -498,3 +498,59 @@ def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts.repartition(3, "seq").write.parquet(incoming)
     fold_in(spark, incoming, state, marks)
     return current_edges(spark, state).select("source", "relation", "target", "confidence", F.array_join("lines", ",").alias("lines"))
+
+
+_SUFFIXES = ("widget", "gear", "ring", "et", "r", "e")
+
+
+@_query("select suffix, count(*) as classes from (select case " + " ".join(f"when ends_with(p_name, '{s}') and p_name <> '{s}' then '{s}'" for s in _SUFFIXES) + " end as suffix from part) where suffix is not null group by suffix")
+def suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.suffix_counts(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), _SUFFIXES)
+
+
+@_query(r"""with spots as (select n_nationkey, r_name || '\' || n_name as place from nation join region on n_regionkey = r_regionkey)
+select c_mktsegment || c_nationkey as grouped, case when count(distinct c_custkey % 4) = 1 then any_value(place) || '\' || any_value(['Domain', 'UseCases', 'Model', 'Billing'][c_custkey % 4 + 1]) else any_value(place) end as root from customer join spots on c_nationkey = n_nationkey group by all""")
+def common_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The namespace that the customers of a segment and nation share."""
+    places = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("grouped"))
+    return rollup.common_roots(_customer_classes(spark, sf_dir).join(places, "c_custkey"), "grouped")
+
+
+@_query(f"""with p as (select list_filter(string_split({_PATH}, '/'), lambda x: x <> '') as s from pages), c as (select coalesce(s[1], '') as one, array_to_string(s[1:2], '/') as two from p), n as (select one, count(*) as n from c group by 1)
+select case when n > 40 then two else one end as prefix, count(*) as routes from c join n using (one) group by 1""")
+def route_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.route_groups(tables.page_paths(spark, sf_dir), 40)
+
+
+@_query("select lang, source, sum(('0x' || substr(md5(text), 1, 8))::bigint)::bigint as fingerprint, count(*) as rows from documents group by all")
+def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each language and source that changes with any text and not with their order."""
+    return rollup.fingerprints(table(spark, sf_dir, "documents"), "lang", "source", value="text")
+
+
+@_query(r"""with spots as (select n_nationkey, n_regionkey, r_name || '\' || n_name as place from nation join region on n_regionkey = r_regionkey),
+classes as (select c_custkey, n_nationkey, n_regionkey, place || '\' || ['Domain', 'UseCases', 'Model', 'Billing'][c_custkey % 4 + 1] || '\Customer' || c_custkey as id, place from customer join spots on c_nationkey = n_nationkey)
+select 'one' as tag, id as class from classes where c_custkey = 1 union all select 'place', id from classes where starts_with(id, 'AFRICA\') union all select 'kind', id from classes where n_regionkey = 1""")
+def tagged_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes by their id, their namespace and what they descend from."""
+    classes = _customer_classes(spark, sf_dir)
+    one = classes.where("c_custkey = 1").select(F.lit("one").alias("tag"), F.lit("id").alias("kind"), F.col("id").alias("value"))
+    fixed = spark.createDataFrame([("place", "prefix", "AFRICA\\"), ("kind", "instanceof", "region:1")], "tag string, kind string, value string")
+    up = tables.place_edges(spark, sf_dir).where("source not like 'supplier:%'").withColumn("relation", F.lit("extends"))
+    named = classes.select(tables.node_id("customer", "c_custkey").alias("source"), "id")
+    lineage = up.join(named, "source", "left").withColumn("source", F.coalesce("id", "source")).drop("id")
+    return resolve.tagged_classes(one.union(fixed), classes, lineage)
+
+
+@_query(f"""with p as (select page_id, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') as s from pages), r as (select distinct s[1] as lang from p where len(s) = 2)
+select 'op' || page_id as operation, '/' || s[1] || '/{{id}}' as route from p where len(s) = 2 and page_id % 3 <> 0""")
+def operation_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations (a page's path, its number a placeholder) and the routes of their shape: one for each first segment, for GET."""
+    parts = path_segments(F.col("path"))
+    two = tables.page_paths(spark, sf_dir).where(F.size(parts) == 2)
+    method = F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET")
+    none = F.lit(None).cast("string")
+    operations = two.select(F.concat(F.lit("op"), F.col("page_id").cast("string")).alias("operation"), method.alias("method"), none.alias("service"), F.concat(F.lit("/"), parts[0], F.lit("/{page}")).alias("path"))
+    route = F.concat(F.lit("/"), parts[0], F.lit("/{id}"))
+    routes = two.select(route.alias("route")).distinct().select("route", F.lit("GET").alias("method"), none.alias("service"), F.col("route").alias("path"))
+    return resolve.match_operations(operations, routes)
