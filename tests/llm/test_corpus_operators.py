@@ -71,6 +71,13 @@ def test_jaccard_classes(documents, corpus, width, percent):
     assert kept == {i for i, (_, c) in enumerate(want) if c == i}
 
 
+def test_jaccard_with_null_ids(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(7, text), (None, text + " more"), (None, "quite another text of seven words"), (9, "none of these"), (9, "none of these")]
+    got = sorted((r.n_shingles, r.component_id) for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.component_id)
+    assert got == [(1, 9), (1, 9), (23, 7), (24, 7)]
+
+
 def test_jaccard_of_nothing(documents):
     assert jaccard_join.classes(documents.limit(0)).count() == 0
 
