@@ -4,8 +4,11 @@ Each document is measured: words, symbols, repeated lines, words in repeated win
 (base_failed). The others are held against thresholds that follow the data: for every (lang, source) and metric a KLL
 quantile sketch is built over the documents that passed the fixed rules; sketches merge into one for each language and
 one for all, and a group with too few documents takes the sketch of its language, or else that of all. A metric is out
-of bounds beyond far fences of the quartiles, and beyond a floor under which a value is never odd; a document is
-rejected if a metric is.
+of bounds beyond a fence: the median and a multiple of the distance from it to a high quantile, and for the word length
+also to a low one. The quantile is that of the metric: repeats are rare, so that only a far one differs from 0, while
+symbols take the upper quartile, since text of symbols can be a tenth of a source and would hide in a farther one. A guard
+is the least distance from the median that counts, for groups whose values are all alike. A document is rejected if a
+metric is out of bounds.
 
 The thresholds, a row for each group, are written to the shared folder before they are joined, so that a task that runs
 again sees the same ones. The join is on (lang, source), null-safe, against this small table: Spark broadcasts it while
@@ -30,19 +33,33 @@ from knotwork.session import materialize
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
+@dataclass(frozen=True)
+class Fence:
+    """quantile: the high one; its distance from the median times `times` is the farthest allowed, or guard if that is more.
+    low: whether 1 - quantile bounds the metric from below in the same way."""
+
+    quantile: float
+    times: float
+    guard: float
+    low: bool = False
+
+
 @dataclass(frozen=True)
 class QualityLimits:
-    """min_words and max_repeat_percent: the fixed rules. window: words of a repeated window. fence: times the distance from
-    the median to the upper quartile. least_group: documents that a group needs for thresholds of its own. sketch_size: k of the sketches.
-    floors: for each metric the least value that can count as odd. word_low: under it a mean word length can be odd."""
+    """min_words and max_repeat_percent: the fixed rules. window: words of a repeated window. least_group: documents that a
+    group needs for thresholds of its own. sketch_size: k of the sketches. fences: for each metric."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    fence: float = 6.0
     least_group: int = 200
     sketch_size: int = 800
-    floors: tuple[tuple[str, float], ...] = (("symbols", 0.05), ("dup_lines", 0.50), ("repeats", 0.25), ("word_length", 12.0))
+    fences: tuple[tuple[str, Fence], ...] = (
+        ("symbols", Fence(0.75, 7.0, 0.02)),
+        ("dup_lines", Fence(0.99, 1.25, 0.10)),
+        ("repeats", Fence(0.99, 1.25, 0.05)),
+        ("word_length", Fence(0.90, 4.0, 0.5, low=True)),
+    )
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -105,12 +122,12 @@ def base_failed(limits: QualityLimits) -> Column:
 
 
 def thresholds(measured: DataFrame, limits: QualityLimits) -> DataFrame:
-    """A row for each (lang, source): n, and for each metric the highest value allowed.
+    """A row for each (lang, source): for each metric the lowest (null if any is) and the highest value allowed.
 
     Sketches are built by partial aggregation in each task and merged; those of a language and of all are merges of them.
     """
     passed = measured.where(~base_failed(limits)).select("lang", "source", *(c.alias(f"_{m}") for m, c in metrics().items()))
-    names = list(metrics())
+    names, fences = list(metrics()), dict(limits.fences)
     groups = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(f"_{m}", F.lit(limits.sketch_size)).alias(m) for m in names))
     groups = materialize(groups, "quality-sketches")
 
@@ -118,11 +135,11 @@ def thresholds(measured: DataFrame, limits: QualityLimits) -> DataFrame:
         return groups.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, F.lit(limits.sketch_size)).alias(m) for m in names))
 
     def bounds(df: DataFrame, *by: str) -> DataFrame:
-        floors = dict(limits.floors)
-
         def bound(m: str) -> Column:
-            middle, upper = (F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) for q in (0.5, 0.75))
-            return F.greatest(F.lit(floors[m]), upper + limits.fence * (upper - middle))
+            fence = fences[m]
+            middle, low, high = (F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) for q in (0.5, 1 - fence.quantile, fence.quantile))
+            lowest = middle - F.greatest(F.lit(fence.guard), fence.times * (middle - low)) if fence.low else F.lit(None).cast("double")
+            return F.struct(lowest.alias("low"), (middle + F.greatest(F.lit(fence.guard), fence.times * (high - middle))).alias("high"))
 
         return df.select(*by, "n", F.struct(*(bound(m).alias(m) for m in names)).alias("limit"))
 
@@ -138,7 +155,7 @@ def thresholds(measured: DataFrame, limits: QualityLimits) -> DataFrame:
 def judge(measured: DataFrame, limits: QualityLimits, bounds: DataFrame) -> DataFrame:
     """Adds base_failed and kept. A group without thresholds (none of its documents passed the fixed rules) has none to break."""
     joined = measured.join(bounds, measured["lang"].eqNullSafe(bounds["_lang"]) & measured["source"].eqNullSafe(bounds["_source"]), "left")
-    breaks = [F.coalesce(c > F.col(f"_limit.{m}"), F.lit(False)) for m, c in metrics().items()]
+    breaks = [F.coalesce(c > F.col(f"_limit.{m}.high"), F.lit(False)) | F.coalesce(c < F.col(f"_limit.{m}.low"), F.lit(False)) for m, c in metrics().items()]
     odd = breaks[0]
     for b in breaks[1:]:
         odd = odd | b

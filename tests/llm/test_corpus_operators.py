@@ -106,6 +106,26 @@ def test_quality_follows_the_data(spark):
     assert all(rows[i] for i, *_ in clean) and not any(rows[i] for i, *_ in junk)
 
 
+def test_quality_differs_by_source(spark):
+    rng = random.Random(5)
+
+    def text(size, same=0, lines=20):
+        every = [" ".join("".join(rng.choice("abcdefgh") for _ in range(size + rng.randint(-1, 1))) for _ in range(9)) for _ in range(lines)]
+        return "\n".join(every[: lines - same] + [every[0]] * same)
+
+    plain = {"short": 4, "long": 8, "lined": 4}
+    rows = [(1000 * k + i, text(size, 5 if source == "lined" and i % 10 == 0 else 0), source) for k, (source, size) in enumerate(plain.items()) for i in range(300)]
+    odd = {9000: text(4), 9100: text(8), 9200: text(4, same=5)}
+    rows += [(i + k, t, source) for i, t in odd.items() for k, source in enumerate(plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    rows = {r.doc_id: r for r in quality_rules.verdicts(df).collect()}
+    assert not any(rows[i].base_failed for i in (9000, 9001, 9002, 9100, 9101, 9102))
+    assert [rows[9000 + k].kept for k in range(3)] == [True, False, True]
+    assert [rows[9100 + k].kept for k in range(3)] == [False, True, False]
+    assert [rows[9200 + k].kept for k in range(3)] == [False, False, True]
+    assert all(rows[1000 * k + i].kept for k in range(3) for i in range(300))
+
+
 @pytest.mark.parametrize("most", [1 << 14, 1])
 def test_repeats(documents, corpus, most):
     least = 60
