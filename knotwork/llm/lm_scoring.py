@@ -3,9 +3,8 @@
 A text is lower-cased (A-Z) and is a row of words and one end. Words are counted over all training documents: in each
 task first, then by Spark. A word's subword ids come from a public tokenizer whose pieces tell where a word ends, so the
 ids of a row of words spell it in one way; their counts follow from the words' counts. The attention model is trained on
-windows of ids that are drawn, at a fixed rate, from every training document, so what it learns from grows with the
-corpus: each task trains on its own windows from the same start, Spark averages the parameters of all tasks, and so on for
-some rounds. Texts are scored in overlapping windows of ids, each id once, in batches of windows. Within a word, an id's
+all ids of all training documents, in windows side by side: the documents are dealt to some rounds; in a round each task
+trains on its own windows from the same start, and Spark averages the parameters of all tasks for the next one. Texts are scored in overlapping windows of ids, each id once, in batches of windows. Within a word, an id's
 probability is a fixed mixture of the attention model's and of how often it follows the id before it in training words;
 for that, the most frequent pairs, `pairs` of them at most, lie in a hash table of fixed size.
 
@@ -46,17 +45,16 @@ KEPT = 300_000
 class LmOptions:
     """folds, held: crc32(id as text) mod folds == held is held out. head: words broadcast at most. singles: tokens that are a
     class of their own. bins: classes of the others. inputs: tokens with an input embedding of their own. every: a training
-    document gives one in so many runs of run_words words. count_weight: of the counts in the mixture. pairs, pair_weight: the same for pairs of ids within a word."""
+    document gives one in so many of its windows, one at least; 1 is all. count_weight: of the counts in the mixture. pairs, pair_weight: the same for pairs of ids within a word."""
 
     folds: int = 7
     held: int = 2
     head: int = 1 << 18
-    singles: int = 40
-    bins: int = 24
+    singles: int = 96
+    bins: int = 32
     inputs: int = 2048
     shared_inputs: int = 256
-    every: int = 32
-    run_words: int = 16
+    every: int = 1
     rounds: int = 2
     window: int = 20
     stride: int = 17
@@ -81,6 +79,7 @@ class Model:
     vocabulary: int
     pair_keys: np.ndarray
     pair_share: np.ndarray
+    seen: int = 0  # ids that were trained on
 
 
 def word_counts(training: DataFrame, text: str) -> DataFrame:
@@ -153,29 +152,6 @@ def _pair_table(counted: DataFrame, end_id: int, most: int) -> tuple[np.ndarray,
     return keys, share
 
 
-def _drawn(training: DataFrame, options: LmOptions, tokenizer_file: str, end_id: int, text: str) -> DataFrame:
-    """(ids): runs of ids, each from run_words words of a text, one in `every` runs, drawn by the text and the place."""
-
-    def make():
-        ids_of = _word_ids(tokenizer_file, end_id)
-
-        def work(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
-            out = []
-            for value in texts_of(batch):
-                data = value.encode().lower().split()
-                seed = zlib.crc32(value.encode())
-                for i in range((seed ^ seed >> 16) % options.every, -(-len(data) // options.run_words), options.every):
-                    run = [w.decode() for w in data[i * options.run_words : (i + 1) * options.run_words]]
-                    if len(run) < options.run_words:
-                        run.append(END)
-                    out.append(np.frombuffer(b"".join([ids_of(w) for w in run]), np.uint32).astype(np.int32))
-            yield {"ids": out}
-
-        return work
-
-    return map_batches(training.select(F.col(f"`{text}`").alias("text")), make, "ids array<int>")
-
-
 def _most_frequent(counts: DataFrame, name: str, most: int) -> dict:
     """The names of at least some count, the least one that leaves no more than most names. Counts are binned by Spark."""
     bins = counts.groupBy(F.floor(F.log(F.col("c").cast("double")) * 40).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()
@@ -200,35 +176,45 @@ def _examples(ids: np.ndarray, model: Model, starts: np.ndarray) -> tuple[np.nda
     return inputs[np.minimum(at, len(ids) - 1)], classes[np.minimum(at, len(ids) - 1)]
 
 
-def _averaged(drawn: DataFrame, model: Model, rate: float) -> np.ndarray:
-    """One round: every task trains on its windows; the mean of the tasks' parameters, weighed by windows."""
-    shape, options = model.shape, model.options
-    spark = drawn.sparkSession
-    shipped = spark.sparkContext.broadcast(model)
+def _averaged(training: DataFrame, model: Model, turn: int, tokenizer_file: str) -> tuple[np.ndarray, int]:
+    """One round: every task trains on the windows of its documents of that round; the mean of the tasks' parameters, weighed
+    by windows, and the ids trained on. training: (text)."""
+    options = model.options
+    shipped = training.sparkSession.sparkContext.broadcast(model)
+    rate = options.rate / (1 + turn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, flat, weight = shipped.value, shipped.value.flat, 0
-        for batch in batches:
+        model, flat, weight, seen = shipped.value, shipped.value.flat, 0, 0
+        ids_of = _word_ids(tokenizer_file, len(model.class_of) - 1)
+        for part in (p for batch in batches for p in slices(batch, 128)):
             parts = []
-            for ids in batch.column("ids").to_pylist():
-                ids = np.array(ids, np.int64)
+            for value in texts_of(part):
+                data = value.encode()
+                seed = zlib.crc32(data)
+                if seed % options.rounds != turn:
+                    continue
+                ids = np.frombuffer(b"".join([ids_of(w.decode()) for w in data.lower().split()] + [ids_of(END)]), np.uint32).astype(np.int64)
                 starts = np.arange(0, len(ids), options.window)
-                inputs, classes = _examples(ids, model, starts)
-                parts.append((inputs, classes, starts[:, None] + np.arange(options.window) < len(ids)))
+                starts = starts[(seed >> 8) % min(options.every, len(starts)) :: options.every]
+                parts.append((*_examples(ids, model, starts), starts[:, None] + np.arange(options.window) < len(ids)))
             if parts:
                 inputs, classes, valid = (np.concatenate(x) for x in zip(*parts, strict=True))
                 order = np.random.default_rng(len(inputs)).permutation(len(inputs))
-                flat = train(shape, flat, inputs[order], classes[order], valid[order], rate)
+                flat = train(model.shape, flat, inputs[order], classes[order], valid[order], rate)
                 weight += len(inputs)
+                seen += int(valid.sum())
         if weight:
-            yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat), dtype=np.int32), "x": flat.astype(np.float64) * weight, "w": np.full(len(flat), float(weight))})
+            yield pa.RecordBatch.from_pydict({"i": np.arange(-1, len(flat), dtype=np.int32), "x": np.append(seen, flat.astype(np.float64) * weight), "w": np.full(len(flat) + 1, float(weight))})
 
-    rows = drawn.mapInArrow(run, "i int, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).collect()
-    flat = model.flat.copy()
+    rows = training.mapInArrow(run, "i int, x double, w double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("w").alias("w")).collect()
+    flat, seen = model.flat.copy(), 0
     for row in rows:
-        flat[row.i] = row.x
+        if row.i < 0:
+            seen = int(row.x)
+        else:
+            flat[row.i] = row.x / row.w
     shipped.unpersist()
-    return flat
+    return flat, seen
 
 
 def fit(training: DataFrame, counts: DataFrame, tokenizer_file: str, options: LmOptions, text: str = "text") -> Model:
@@ -255,9 +241,10 @@ def fit(training: DataFrame, counts: DataFrame, tokenizer_file: str, options: Lm
     flat = fresh(shape, class_mass / class_mass.sum())
     keys, share = _pair_table(counted, end_id, options.pairs)
     model = Model(options, shape, flat, class_of, np.log(total / class_mass[class_of]), input_of, {}, tokens, vocabulary, keys, share)
-    drawn = materialize(_drawn(training, options, tokenizer_file, end_id, text), "lm-windows")
+    texts = training.select(F.col(f"`{text}`").alias("text"))
     for turn in range(options.rounds):
-        model = Model(**{**model.__dict__, "flat": _averaged(drawn, model, options.rate / (1 + turn))})
+        flat, seen = _averaged(texts, model, turn, tokenizer_file)
+        model = Model(**{**model.__dict__, "flat": flat, "seen": model.seen + seen})
     return Model(**{**model.__dict__, "head": _most_frequent(counts, "word", options.head)})
 
 

@@ -195,6 +195,17 @@ def test_lm_base_scores_and_learning(documents, corpus):
         assert math.isfinite(r.score) and r.score <= 0
 
 
+def test_lm_trains_on_every_document(spark):
+    file, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    texts = [" ".join(rng.choice(["the", "model", "reads", "words"]) for _ in range(n)) for n in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = lm_scoring.word_counts(df, "text").cache()
+    every = sum(len(t.split()) + 1 for t in texts)  # each of these words is one id
+    assert lm_scoring.fit(df, counts, file, lm_scoring.LmOptions()).seen == every
+    some = lm_scoring.fit(df, counts, file, lm_scoring.LmOptions(every=10**6)).seen
+    assert len(texts) <= some < every
+
+
 def test_gradient_and_windows():
     shape, rng = Shape(30, 7, 8, 6), np.random.default_rng(0)
     flat = rng.normal(0, 0.5, shape.size())
