@@ -6,12 +6,13 @@ ids of a row of words spell it in one way; their counts follow from the words' c
 all ids of all training documents, in windows side by side: the documents are dealt to some rounds; in a round each task
 trains on its own windows from the same start, and Spark averages the parameters of all tasks for the next one. Texts are scored in overlapping windows of ids, each id once, in batches of windows. Within a word, an id's
 probability is a fixed mixture of the attention model's and of how often it follows the id before it in training words;
-for that, the most frequent pairs, `pairs` of them at most, lie in a hash table of fixed size.
+for that, the most frequent pairs, `pairs` of them at most, lie in a hash table of fixed size, and where there are more,
+ids in pairs beyond it wait for a join with the counts of pairs.
 
 A word's probability is a fixed mixture of what the model gives for its ids in their context and of its share of all
-training tokens, so that score is the sum of the logarithms (base 10) of the words and the end. Only the most frequent
-words have a share; they are at most `head` words, the one thing besides the parameters that is broadcast. The counts of
-rarer words, which the base score needs, are joined by the word.
+training tokens, so that score is the sum of the logarithms (base 10) of the words and the end. The counts of the most
+frequent words, `head` of them at most, are broadcast; those of rarer words, for their share and the base score, are
+joined by the word. So head and pairs bound what workers hold and change no score.
 
 Defined results: null counts as an empty text: its end alone. A null id trains. Equal rows (repeated ones) are scored
 alike and each returned. Without training documents nothing is known and the model keeps its start. Other columns are
@@ -79,6 +80,7 @@ class Model:
     vocabulary: int
     pair_keys: np.ndarray
     pair_share: np.ndarray
+    pairs_beyond: bool = False  # whether there are pairs that the table lacks
     seen: int = 0  # ids that were trained on
 
 
@@ -137,30 +139,57 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
-def _pair_table(counted: DataFrame, end_id: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and shares by slot. Where pairs fall into one slot, the most frequent has it."""
-    rows = counted.where(F.col("key") > end_id).select((F.col("key") - (end_id + 1)).alias("pair"), "c")
-    before = np.ones(end_id + 1)
-    for row in rows.groupBy(F.expr(f"pair div {end_id + 1}").alias("before")).agg(F.sum("c").alias("c")).collect():  # a row for each id
-        before[row.before] = row.c
-    found = sorted(_most_frequent(rows, "pair", most).items(), key=lambda x: (x[1], x[0]))
-    keys, share = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, np.float32)
-    if found:
-        pair, c = np.array([x for x, _ in found]), np.array([x for _, x in found])
-        keys[_slot(pair)] = pair
-        share[_slot(pair)] = c / before[pair // (end_id + 1)]
-    return keys, share
+def _pair_shares(counted: DataFrame, end_id: int) -> DataFrame:
+    """(pair, c, share): each pair's count and its share of the pairs with the same id before."""
+    rows = counted.where(F.col("key") > end_id).select((F.col("key") - (end_id + 1)).alias("pair"), "c").withColumn("before", F.expr(f"pair div {end_id + 1}"))
+    total = rows.groupBy("before").agg(F.sum("c").alias("total"))  # a row for each id of the tokenizer at most
+    return rows.join(F.broadcast(total), "before").select("pair", "c", (F.col("c") / F.col("total")).alias("share"))
 
 
-def _most_frequent(counts: DataFrame, name: str, most: int) -> dict:
-    """The names of at least some count, the least one that leaves no more than most names. Counts are binned by Spark."""
+def _pair_table(shares: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Keys and shares by slot, and whether there are other pairs. A pair whose slot is taken has the next free one."""
+    least, all_fit = _least_count(shares, most)
+    keys, share = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, np.float32)
+    if least is not None:
+        found = shares.where(F.col("c") >= least).select("pair", "share").toArrow()
+        pair, value = found["pair"].to_numpy(), found["share"].to_numpy()
+        slot = _slot(pair)
+        while len(pair):
+            _, first = np.unique(slot, return_index=True)
+            first = first[keys[slot[first]] < 0]
+            keys[slot[first]], share[slot[first]] = pair[first], value[first]
+            left = np.ones(len(pair), bool)
+            left[first] = False
+            pair, value, slot = pair[left], value[left], (slot[left] + 1) % len(keys)
+    return keys, share, not all_fit
+
+
+def _find_pairs(keys: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The slot of each pair, or of the free one where it would be."""
+    slot = _slot(pair)
+    left = np.flatnonzero((keys[slot] != pair) & (keys[slot] >= 0))
+    while len(left):
+        slot[left] = (slot[left] + 1) % len(keys)
+        left = left[(keys[slot[left]] != pair[left]) & (keys[slot[left]] >= 0)]
+    return slot
+
+
+def _least_count(counts: DataFrame, most: int) -> tuple[int | None, bool]:
+    """The least count that leaves no more than most rows, None if even the highest leaves more, and whether all rows have it.
+    Counts are binned by Spark."""
     bins = counts.groupBy(F.floor(F.log(F.col("c").cast("double")) * 40).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low")).collect()
     total, least = 0, None
     for row in sorted(bins, key=lambda r: -r.bin):
         total += row.n
         if total > most:
-            break
+            return least, False
         least = row.low
+    return least, True
+
+
+def _most_frequent(counts: DataFrame, name: str, most: int) -> dict:
+    """The names of at least some count, the least one that leaves no more than most names."""
+    least, _ = _least_count(counts, most)
     if least is None:
         return {}
     found = counts.where(F.col("c") >= least).select(name, "c").toArrow()
@@ -217,13 +246,14 @@ def _averaged(training: DataFrame, model: Model, turn: int, tokenizer_file: str)
     return flat, seen
 
 
-def fit(training: DataFrame, counts: DataFrame, tokenizer_file: str, options: LmOptions, text: str = "text") -> Model:
-    """counts: word_counts() of training, written."""
+def fit(training: DataFrame, counts: DataFrame, tokenizer_file: str, options: LmOptions, text: str = "text", counted: DataFrame | None = None) -> Model:
+    """counts: word_counts() of training, written. counted: id_counts() of them, if written already."""
     size = cached_tokenizer(tokenizer_file, True).tokenizer.get_vocab_size()
     end_id = size
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total = np.zeros(size + 1)
-    counted = materialize(id_counts(counts, tokenizer_file, end_id), "lm-ids")
+    if counted is None:
+        counted = materialize(id_counts(counts, tokenizer_file, end_id), "lm-ids")
     for row in counted.where(F.col("key") <= end_id).collect():  # a row for each id of the tokenizer at most
         total[row.key] = row.c
     total += 0.5
@@ -239,8 +269,8 @@ def fit(training: DataFrame, counts: DataFrame, tokenizer_file: str, options: Lm
     input_of[order[: options.inputs]] = np.arange(options.inputs)
     shape = Shape(options.inputs + options.shared_inputs, classes, window=options.window)
     flat = fresh(shape, class_mass / class_mass.sum())
-    keys, share = _pair_table(counted, end_id, options.pairs)
-    model = Model(options, shape, flat, class_of, np.log(total / class_mass[class_of]), input_of, {}, tokens, vocabulary, keys, share)
+    keys, share, beyond = _pair_table(_pair_shares(counted, end_id), options.pairs)
+    model = Model(options, shape, flat, class_of, np.log(total / class_mass[class_of]), input_of, {}, tokens, vocabulary, keys, share, beyond)
     texts = training.select(F.col(f"`{text}`").alias("text"))
     for turn in range(options.rounds):
         flat, seen = _averaged(texts, model, turn, tokenizer_file)
@@ -305,19 +335,26 @@ class Scorer:
         flat = np.concatenate(rows)
         return out + m.share[flat]
 
-    def mixed(self, flat: np.ndarray, by_context: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of ids, mixed with the pairs' shares where an id is not the first of its word."""
+    def mixed(self, flat: np.ndarray, by_context: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log probabilities of ids, mixed with the pairs' shares where an id is not the first of its word.
+
+        Then the places whose pairs may be beyond the table, which have 0 so far, their pairs, and what the context gives."""
         m = self.model
         out = by_context.astype(np.float64)
         at = np.flatnonzero(~first)
         pair = flat[at - 1] * len(m.class_of) + flat[at]
-        slot = _slot(pair)
-        share = np.where(m.pair_keys[slot] == pair, m.pair_share[slot], 0)
-        out[at] = np.log(m.options.pair_weight * share + (1 - m.options.pair_weight) * np.exp(out[at]))
-        return out
+        slot = _find_pairs(m.pair_keys, pair)
+        known = m.pair_keys[slot] == pair
+        context = out[at]
+        out[at] = np.log(m.options.pair_weight * np.where(known, m.pair_share[slot], 0) + (1 - m.options.pair_weight) * np.exp(context))
+        far = np.flatnonzero(~known) if m.pairs_beyond else np.zeros(0, np.int64)
+        out[at[far]] = 0
+        return out, at[far], pair[far], context[far]
 
     def score(self, texts: list[str]) -> dict[str, list]:
-        """n_tokens, head_known, head_base, score and tail (words that are not in the head) of each text."""
+        """n_tokens, head_known, head_base and head_score of each text; tail: the words that are not in the head or have a pair
+        beyond the table, tail_ids: the natural log probabilities of their ids without such pairs; far_at (places in tail),
+        far_pair and far_context: these."""
         weight = self.model.options.count_weight
         words, counts = [], []
         for text in texts:
@@ -334,20 +371,29 @@ class Scorer:
         first[begins] = True
         at = np.append(0, np.cumsum(counts)[:-1])
         rows = np.split(flat, begins[at[1:]])
-        by_ids = np.add.reduceat(self.mixed(flat, self.id_scores(rows), first), begins)
+        by_id, far, far_pair, far_context = self.mixed(flat, self.id_scores(rows), first)
+        by_ids = np.add.reduceat(by_id, begins)
         rare = len(self.place)
         place = np.fromiter(map(self.place.get, words, repeat(rare)), np.int64, len(words))
-        value = np.log10(self.share[place] + (1 - weight) * np.exp(by_ids) + 1e-300)
+        far_word = np.searchsorted(begins, far, side="right") - 1
+        place[far_word] = rare
+        value = np.where(place < rare, np.log10(self.share[place] + (1 - weight) * np.exp(by_ids) + 1e-300), 0)
         log_count = self.log_count[place]
         outside = np.flatnonzero(place == rare)
-        cuts = np.searchsorted(outside, at)
+        cuts = np.searchsorted(outside, np.append(at, len(words)))
+        far_cuts = np.searchsorted(far_word, np.append(at, len(words)))
+        far_at = np.searchsorted(outside, far_word) - np.repeat(cuts[:-1], np.diff(far_cuts))
         tail = [words[i].decode() for i in outside.tolist()]
+        tail_ids = by_ids[outside]
         return {
             "n_tokens": counts,
             "head_known": np.add.reduceat((place < rare).astype(np.int64), at),
             "head_base": np.add.reduceat(log_count, at) - self.base * counts,
-            "score": np.add.reduceat(value, at),
-            "tail": [tail[a:b] for a, b in zip(cuts, [*cuts[1:], len(tail)], strict=True)],
+            "head_score": np.add.reduceat(value, at),
+            "tail": [tail[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+            "tail_ids": [tail_ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+        } | {
+            name: [x[a:b] for a, b in zip(far_cuts[:-1], far_cuts[1:], strict=True)] for name, x in (("far_at", far_at), ("far_pair", far_pair), ("far_context", far_context))
         }
 
 
@@ -358,7 +404,9 @@ def score(df: DataFrame, tokenizer_file: str, options: LmOptions = LmOptions(),
     training = docs.where(~F.col("held"))
     counts = materialize(word_counts(training, "text"), "lm-counts")
     release(df.sparkSession)
-    model = fit(training, counts, tokenizer_file, options)
+    end_id = cached_tokenizer(tokenizer_file, True).tokenizer.get_vocab_size()
+    counted = materialize(id_counts(counts, tokenizer_file, end_id), "lm-ids")
+    model = fit(training, counts, tokenizer_file, options, counted=counted)
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -371,15 +419,25 @@ def score(df: DataFrame, tokenizer_file: str, options: LmOptions = LmOptions(),
         return work
 
     source = docs.withColumn("rid", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("null")), "text"))
-    schema = f"rid long, key {kind}, held boolean, n_tokens long, head_known long, head_base double, score double, tail array<string>"
+    schema = f"rid long, key {kind}, held boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<string>, tail_ids array<double>, far_at array<int>, far_pair array<long>, far_context array<double>"
     scored = materialize(map_batches(source, make, schema), "lm-scored")
     # equal rows share a rid: each brings its words, so sums are divided by the number of such rows
-    marked = scored.select("rid", F.explode_outer("tail").alias("word"))
+    marked = scored.select("rid", F.posexplode_outer(F.arrays_zip("tail", "tail_ids")).alias("at", "x")).select("rid", "at", F.col("x.tail").alias("word"), F.col("x.tail_ids").alias("by_ids"))
+    if model.pairs_beyond:
+        far = scored.select("rid", F.explode(F.arrays_zip("far_at", "far_pair", "far_context")).alias("x")).select("rid", F.col("x.far_at").alias("at"), F.col("x.far_pair").alias("pair"), F.col("x.far_context").alias("context"))
+        mixed = F.log(options.pair_weight * F.coalesce("share", F.lit(0.0)) + (1 - options.pair_weight) * F.exp("context"))
+        far = far.join(_pair_shares(counted, end_id).select("pair", "share"), "pair", "left").groupBy("rid", "at").agg(F.sum(mixed).alias("far"))
+        # copies of a row have the same pairs at the same places
+        copied = scored.groupBy("rid").agg(F.count(F.lit(1)).alias("rows"))
+        far = far.join(copied, "rid").select("rid", "at", (F.col("far") / F.col("rows")).alias("far"))
+        marked = marked.join(far, ["rid", "at"], "left").withColumn("by_ids", F.col("by_ids") + F.coalesce("far", F.lit(0.0))).drop("far")
     joined = marked.join(counts, "word", "left")
-    rare = joined.groupBy("rid").agg(F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"))
+    share = F.lit(options.count_weight / max(1, model.tokens)) * F.coalesce("c", F.lit(0))
+    tail_score = F.when(F.col("word").isNotNull(), F.log10(share + (1 - options.count_weight) * F.exp("by_ids") + 1e-300)).otherwise(0.0)
+    rare = joined.groupBy("rid").agg(F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"), F.sum(tail_score).alias("tail_score"))
     copies = scored.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
-    out = scored.drop("tail").join(rare, "rid").join(copies, "rid")
-    return out.select(F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", (F.col("head_known") + (F.col("known") / F.col("copies")).cast("long")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("head_base") + F.col("base") / F.col("copies")).alias("base_score"), "score")
+    out = scored.drop("tail", "tail_ids", "far_at", "far_pair", "far_context").join(rare, "rid").join(copies, "rid")
+    return out.select(F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", (F.col("head_known") + (F.col("known") / F.col("copies")).cast("long")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("head_base") + F.col("base") / F.col("copies")).alias("base_score"), (F.col("head_score") + F.col("tail_score") / F.col("copies")).alias("score"))
 
 
 def held_of(options: LmOptions):

@@ -206,6 +206,25 @@ def test_lm_trains_on_every_document(spark):
     assert len(texts) <= some < every
 
 
+def test_lm_bounds_change_no_score(documents):
+    file = public_tokenizers.path("word_bpe_49k.json")
+    twice = documents.unionByName(documents.where("doc_id % 3 = 0"))  # equal rows too
+    whole, bounded = (sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in lm_scoring.score(twice, file, o).collect()) for o in (lm_scoring.LmOptions(), lm_scoring.LmOptions(head=5, pairs=20)))
+    assert len(whole) == twice.count()
+    for a, b in zip(whole, bounded, strict=True):
+        assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], rtol=1e-5)
+
+
+def test_lm_pairs_of_one_slot(spark):
+    every = np.arange(1, 3_000_000)
+    slots = lm_scoring._slot(every)
+    crowded = int(np.flatnonzero(np.bincount(slots) > 1)[0])
+    pairs = every[(slots >= crowded) & (slots <= crowded + 1)].tolist()
+    rows = spark.createDataFrame([(p, 5, float(i + 1)) for i, p in enumerate(pairs)], "pair long, c long, share double")
+    keys, share, beyond = lm_scoring._pair_table(rows, 100)
+    assert not beyond and share[lm_scoring._find_pairs(keys, np.array(pairs))].tolist() == [i + 1 for i in range(len(pairs))]
+
+
 def test_gradient_and_windows():
     shape, rng = Shape(30, 7, 8, 6), np.random.default_rng(0)
     flat = rng.normal(0, 0.5, shape.size())
