@@ -2,14 +2,14 @@
 
 The rules' regular expressions are compiled together: into a nondeterministic automaton that may start anywhere, by
 subset construction into a deterministic one over classes of bytes, and that is minimised into an array of transitions.
-One pass over a text's bytes tells which rules match in it at all. For those alone, the spans are then taken from the
-text: leftmost, not overlapping within a rule, and dropped if shorter than the rule asks for.
+One pass over a text's bytes tells which rules match in it at all. For those alone, Python's re then takes the spans from
+the text: leftmost, not overlapping within a rule, and dropped if shorter than the rule asks for.
 
 The pattern language: literals, escapes (\\xHH, \\.), classes, groups, |, ?, *, + and {n}; ASCII only. A rule's probe is
 what the automaton looks for: the pattern itself unless given, else something that every span of the rule holds.
 
 Defined results: null counts as an empty text, without spans. Spans are in code points. Rows are independent, so repeated
-rows and empty tables need no care; texts of any length are read once, byte by byte.
+rows and empty tables need no care; texts of any length are read once, byte by byte, and once more by re for each rule that occurs.
 """
 
 from __future__ import annotations
@@ -53,9 +53,11 @@ BASE_RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]+", 18, probe=r"AKIA[A-Z0-9]{8}", base=True),
     SecretRule("hex", r"[0-9a-f]+", 16, probe=r"[0-9a-f]{16}", base=True),
 )
+#: A key that has no end (a text that was cut) spans the runs of its letters that follow the banner.
+_BANNER, _KEY_LINES = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"([\x20\n\r\t]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=]*)*"
 #: Well-known public forms of keys.
 MORE_RULES = (
-    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", probe=r"-----BEGIN [A-Z]"),
+    SecretRule("private_key", _BANNER + rf"((-?-?-?-?[^-])*-----END [A-Z ]*PRIVATE KEY-----|{_KEY_LINES})", probe=r"PRIVATE KEY-----"),
     SecretRule("github", r"gh[pousr]_[A-Za-z0-9]+", 40, probe=r"gh[pousr]_[A-Za-z0-9]"),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20, probe=r"xox[abprs]-[A-Za-z0-9-]"),
     SecretRule("google", r"AIza[A-Za-z0-9_-]+", 39, probe=r"AIza[A-Za-z0-9_-]"),
