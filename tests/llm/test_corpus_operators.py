@@ -78,6 +78,15 @@ def test_jaccard_with_null_ids(spark):
     assert got == [(1, 9), (1, 9), (23, 7), (24, 7)]
 
 
+def test_jaccard_keeps_rows_not_ids(spark):
+    far = ["one two three four five six seven", "red green blue black white grey pink", "north south east west up down left", "iron tin zinc gold lead silver copper"]
+    rows = [(1, far[0], "x"), (1, far[1], "x"), (2, far[1], "x"), (2, far[2], "x"), (3, far[2], "x"), (None, far[0], "x"), (None, far[3], "x"), (None, far[3], "y"), (5, None, "x"), (5, "", "x")]
+    rows += [(1, far[0], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(1, far[0]), (1, far[1]), (2, far[2]), (None, far[3]), (5, None), (5, "")], key=str)
+
+
 def test_jaccard_of_nothing(documents):
     assert jaccard_join.classes(documents.limit(0)).count() == 0
 
