@@ -1,24 +1,27 @@
 """Secret scans by one deterministic automaton for all rules.
 
-The rules' regular expressions are compiled together: into a nondeterministic automaton that may start anywhere, by
-subset construction into a deterministic one over classes of bytes, and that is minimised into an array of transitions.
-One pass over a text's bytes tells which rules match in it at all. For those alone, Python's re then takes the spans from
-the text: leftmost, not overlapping within a rule, and dropped if shorter than the rule asks for.
+The rules' regular expressions are compiled together, reversed: into a nondeterministic automaton that may start anywhere,
+by subset construction into a deterministic one over classes of bytes, and that is minimised into an array of
+transitions. One pass over a text's bytes, from the last to the first, tells every place where a match of a rule begins.
+A rule's spans are then taken from left to right: from the first such place that no earlier span of the rule covers, to
+the longest match there, by the rule's own automaton over the bytes of the match. So spans are leftmost and longest, and
+don't overlap within a rule. A rule may have two parts, a lead and the secret itself; a span whose secret is shorter than
+the rule asks for is dropped, but covers what it covers.
 
-The pattern language: literals, escapes (\\xHH, \\.), classes, groups, |, ?, *, + and {n}; ASCII only. A rule's probe is
-what the automaton looks for: the pattern itself unless given, else something that every span of the rule holds.
+The pattern language: literals, escapes (\\xHH, \\.), classes, groups, |, ?, *, + and {n}; ASCII only.
 
 Defined results: null counts as an empty text, without spans. Spans are in code points. Rows are independent, so repeated
-rows and empty tables need no care; texts of any length are read once, byte by byte, and once more by re for each rule that occurs.
+rows and empty tables need no care; other columns are ignored by scan() and passed through by redact(). Texts of any
+length are read once as a whole, byte by byte, and once more where they match.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -31,13 +34,13 @@ from knotwork.llm.common import map_batches, slices, texts_of
 
 @dataclass(frozen=True)
 class SecretRule:
-    """least: characters that the group must have. base: counted in the digest of base spans."""
+    """A match is lead and then secret, each as long as it can be. least: characters that the secret must have. base: counted
+    in the digest of base spans."""
 
     kind: str
-    pattern: str
+    secret: str
     least: int = 0
-    group: int = 0
-    probe: str = ""
+    lead: str = ""
     base: bool = False
 
 
@@ -47,21 +50,22 @@ def either_case(word: str) -> str:
 
 _NAMES = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 
-#: The three rules of the query's contract.
+#: The three rules of the query's contract. A run of hexadecimal digits that is too short has no longer one in
+#: it, so that its pattern asks for the length itself and places in words are no starts.
 BASE_RULES = (
-    SecretRule("assign", rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 2, rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", base=True),
-    SecretRule("access", r"AKIA[A-Z0-9]+", 18, probe=r"AKIA[A-Z0-9]{8}", base=True),
-    SecretRule("hex", r"[0-9a-f]+", 16, probe=r"[0-9a-f]{16}", base=True),
+    SecretRule("assign", "[A-Za-z0-9+/_.=-]+", 12, rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?", base=True),
+    SecretRule("access", r"AKIA[A-Z0-9]+", 18, base=True),
+    SecretRule("hex", r"[0-9a-f]{16}[0-9a-f]*", 16, base=True),
 )
 #: A key that has no end (a text that was cut) spans the runs of its letters that follow the banner.
 _BANNER, _KEY_LINES = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"([\x20\n\r\t]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=]*)*"
 #: Well-known public forms of keys.
 MORE_RULES = (
-    SecretRule("private_key", _BANNER + rf"((-?-?-?-?[^-])*-----END [A-Z ]*PRIVATE KEY-----|{_KEY_LINES})", probe=r"PRIVATE KEY-----"),
-    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]+", 40, probe=r"gh[pousr]_[A-Za-z0-9]"),
-    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20, probe=r"xox[abprs]-[A-Za-z0-9-]"),
-    SecretRule("google", r"AIza[A-Za-z0-9_-]+", 39, probe=r"AIza[A-Za-z0-9_-]"),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, probe=r"eyJ[A-Za-z0-9_-]"),
+    SecretRule("private_key", _BANNER + rf"((-?-?-?-?[^-])*-----END [A-Z ]*PRIVATE KEY-----|{_KEY_LINES})"),
+    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
+    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
+    SecretRule("google", r"AIza[A-Za-z0-9_-]+", 39),
+    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
 )
 DEFAULT_RULES = BASE_RULES + MORE_RULES
 
@@ -80,12 +84,27 @@ class _Nfa:
 
     def add(self, pattern: str) -> tuple[int, int]:
         """Start and end of a pattern's part of the automaton."""
+        if not pattern:
+            only = self.state()
+            return only, only
         self.pattern, self.at = pattern, 0
         made = self._either()
         if self.at < len(pattern):
             raise ValueError(f"unexpected {pattern[self.at]!r} at {self.at} of {pattern!r}")
         return made
 
+    def reversed(self) -> _Nfa:
+        """The same states with every edge turned round."""
+        turned = _Nfa()
+        for _ in self.edges:
+            turned.state()
+        for s, (edges, empty) in enumerate(zip(self.edges, self.empty, strict=True)):
+            for found, t in edges:
+                turned.edges[t].append((found, s))
+            for t in empty:
+                turned.empty[t].append(s)
+        return turned
+
     def _peek(self) -> str:
         return self.pattern[self.at : self.at + 1]
 
@@ -175,77 +194,99 @@ class _Nfa:
 
 @dataclass(frozen=True)
 class Automaton:
-    """next_state[state * width + class of byte], premultiplied by width; states from first_hit on tell rules in hits."""
+    """next_state[state + class of byte], states premultiplied by width; states from first_hit on have hits, as bits of rules.
+    dead: the state that nothing leaves, if there is one."""
 
     classes: bytes
     width: int
     next_state: list[int]
     first_hit: int
     hits: dict[int, int]
-    all_rules: int
+    dead: int
 
-    def rules_in(self, data: bytes) -> int:
-        """Bits of the rules whose probes match somewhere in data."""
-        state = found = 0
-        table, first = self.next_state, self.first_hit
-        for c in data.translate(self.classes):
+    def places(self, data: bytes) -> list[tuple[int, int]]:
+        """(index, hits) of the bytes after which the automaton has hits, in order."""
+        state, table, first = 0, self.next_state, self.first_hit
+        found = []
+        for i, c in enumerate(data.translate(self.classes)):
             state = table[state + c]
             if state >= first:
-                found |= self.hits[state]
+                found.append((i, self.hits[state]))
         return found
 
+    def longest(self, data: bytes, start: int) -> int:
+        """The end of the longest match from start, or -1."""
+        state, table, first, dead, classes = 0, self.next_state, self.first_hit, self.dead, self.classes
+        end = start if first == 0 else -1
+        for i in range(start, len(data)):
+            state = table[state + classes[data[i]]]
+            if state >= first:
+                end = i + 1
+            elif state == dead:
+                break
+        return end
+
 
-def compile_rules(patterns: list[str], most: int = 200_000) -> Automaton:
-    nfa = _Nfa()
-    ends = [nfa.add(p) for p in patterns]
-    sets = {s for edges in nfa.edges for s, _ in edges}
+def automaton(nfa: _Nfa, starts: set[int], ends: dict[int, int], anywhere: bool, most: int = 200_000) -> Automaton:
+    """The minimal deterministic automaton. ends: the hit of each end. anywhere: whether a match may begin at any byte."""
+    ordered = sorted({s for edges in nfa.edges for s, _ in edges}, key=sorted)
     kinds: dict[tuple[bool, ...], int] = {}
-    ordered = sorted(sets, key=sorted)
     classes = bytes(kinds.setdefault(tuple(b in s for s in ordered), len(kinds)) for b in range(256))
     width = len(kinds)
     example = [classes.index(c) for c in range(width)]
 
-    def closure(states: set[int]) -> frozenset[int]:
-        stack, seen = list(states), set(states)
+    def closure(state: int) -> int:
+        """The states that empty edges lead to, as bits; those that nothing leaves and that end nothing are left out."""
+        stack, seen = [state], {state}
         while stack:
             for s in nfa.empty[stack.pop()]:
                 if s not in seen:
                     seen.add(s)
                     stack.append(s)
-        return frozenset(s for s in seen if nfa.edges[s] or s in last)
+        return sum(1 << s for s in seen if nfa.edges[s] or s in ends)
+
+    def joined(every: Iterable[int]) -> int:
+        return reduce(or_, every, 0)
 
-    last = {end: 1 << i for i, (_, end) in enumerate(ends)}
-    start = closure({s for s, _ in ends})
-    names, rows = {start: 0}, []
-    queue = [start]
+    reach = [closure(s) for s in range(len(nfa.edges))]
+    # where each state goes, by class of byte
+    moves = [[joined(reach[t] for found, t in edges if byte in found) for byte in example] for edges in nfa.edges]
+    start = joined(reach[s] for s in starts)
+    again = start if anywhere else 0
+    names, rows, queue, masks = {start: 0}, [], [start], []
     for subset in queue:
+        members = [s for s in range(subset.bit_length()) if subset >> s & 1]
+        masks.append(sum(ends.get(s, 0) for s in members))
         row = []
-        for byte in example:
-            to = closure({t for s in subset for found, t in nfa.edges[s] if byte in found}) | start
-            if to not in names:
-                names[to] = len(names)
-                queue.append(to)
+        for to in zip(*(moves[s] for s in members), strict=True) if members else [()] * width:
+            target = joined(to) | again
+            if target not in names:
+                names[target] = len(names)
+                queue.append(target)
                 if len(names) > most:
-                    raise ValueError(f"the rules need over {most} states; give some a shorter probe")
-            row.append(names[to])
+                    raise ValueError(f"the rules need over {most} states")
+            row.append(names[target])
         rows.append(row)
-    masks = np.array([sum(last.get(s, 0) for s in subset) for subset in queue])
+    masks = np.array(masks)
     table, masks = _minimised(np.array(rows), masks)
+    # quiet states first, the start before all others unless it has hits itself
     order = np.argsort(masks > 0, kind="stable")
-    order = np.concatenate([[0], order[order != 0]])
+    if masks[0]:
+        raise ValueError("a rule must not match nothing")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     table, masks = place[table[order]], masks[order]
+    dead = np.flatnonzero((masks == 0) & (table == np.arange(len(table))[:, None]).all(axis=1))
     quiet = int((masks == 0).sum())
-    return Automaton(classes, width, (table * width).ravel().tolist(), quiet * width, {i * width: int(m) for i, m in enumerate(masks) if m}, (1 << len(patterns)) - 1)
+    return Automaton(classes, width, (table * width).ravel().tolist(), quiet * width, {i * width: int(m) for i, m in enumerate(masks) if m}, int(dead[0]) * width if len(dead) and not anywhere else -1)
 
 
 def _minimised(table: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges states that no text tells apart; state 0 stays the start."""
     _, label = np.unique(masks, return_inverse=True)
     while True:
-        _, first, finer = np.unique(np.column_stack([label, label[table]]), axis=0, return_index=True, return_inverse=True)
-        finer = finer.ravel()
+        rows = np.ascontiguousarray(np.column_stack([label, label[table]]).astype(np.int32))
+        _, first, finer = np.unique(rows.view(np.dtype((np.void, rows.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
         if len(first) == label.max() + 1:
             break
         label = finer
@@ -260,25 +301,47 @@ def _minimised(table: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.nda
 class Scanner:
     def __init__(self, rules: tuple[SecretRule, ...]) -> None:
         self.rules = rules
-        self.automaton = compile_rules([r.probe or r.pattern for r in rules])
-        self.exact = [re.compile(r.pattern) for r in rules]
+        nfa = _Nfa()
+        whole = [nfa.add(f"({r.lead})({r.secret})" if r.lead else r.secret) for r in rules]
+        back = nfa.reversed()
+        self.begins = automaton(back, {end for _, end in whole}, {start: 1 << i for i, (start, _) in enumerate(whole)}, anywhere=True)
+        self.leads = [_own(r.lead) if r.lead else None for r in rules]
+        self.secrets = [_own(r.secret) for r in rules]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, index of rule, end) of every span, in that order."""
-        mask = self.automaton.rules_in(text.encode())
-        found = []
-        for i, rule in enumerate(self.rules):
-            if mask >> i & 1:
-                found += [(m.start(), i, m.end()) for m in self.exact[i].finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        data = text.encode()
+        places = self.begins.places(data[::-1])
+        if not places:
+            return []
+        found, covered, last = [], [0] * len(self.rules), len(data) - 1
+        for i, hits in reversed(places):
+            at = last - i
+            for k, rule in enumerate(self.rules):
+                if hits >> k & 1 and at >= covered[k]:
+                    begin = at if self.leads[k] is None else self.leads[k].longest(data, at)
+                    end = self.secrets[k].longest(data, begin) if begin >= 0 else -1
+                    if end >= 0:
+                        covered[k] = end
+                        if end - begin >= rule.least:
+                            found.append((at, k, end))
+        if not text.isascii():
+            # of a span of ASCII letters, bytes and code points are as many; else both ends are counted
+            found = [(len(data[:s].decode()), k, len(data[:e].decode())) for s, k, e in found]
         return sorted(found)
 
     def shown(self, spans: list[tuple[int, int, int]]) -> str:
         return ",".join(f"{self.rules[i].kind}:{start}:{end}" for start, i, end in spans)
 
 
+def _own(pattern: str) -> Automaton:
+    nfa = _Nfa()
+    start, end = nfa.add(pattern)
+    return automaton(nfa, {start}, {end: 1}, anywhere=False)
+
+
 @lru_cache(maxsize=4)
 def scanner(rules: tuple[SecretRule, ...]) -> Scanner:
-    """One for each worker."""
     return Scanner(rules)
 
 
@@ -286,11 +349,10 @@ def scan(df: DataFrame, rules: tuple[SecretRule, ...] = DEFAULT_RULES, key: str
     """key, n_<kind> of each base rule, base_sha256 and spans, of every row. A map over rows: no shuffle."""
     kind = df.schema[key].dataType.simpleString()
     base = [i for i, r in enumerate(rules) if r.base]
+    machine = scanner(rules)  # compiled once, by the driver; its arrays are small
     counts = ", ".join(f"n_{rules[i].kind} long" for i in base)
 
     def make():
-        machine = scanner(rules)
-
         def work(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
             for part in slices(batch):
                 every = [machine.spans(t) for t in texts_of(part)]
@@ -308,11 +370,13 @@ def scan(df: DataFrame, rules: tuple[SecretRule, ...] = DEFAULT_RULES, key: str
 def redact(df: DataFrame, rules: tuple[SecretRule, ...] = DEFAULT_RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """df with every span of a secret replaced by mark; overlapping spans by one. Null stays null."""
 
+    machine = scanner(rules)
+
     def masked(value: str | None) -> str | None:
         if not value:
             return value
         out, at = [], 0
-        for start, _, end in scanner(rules).spans(value):
+        for start, _, end in machine.spans(value):
             if start >= at:
                 out += [value[at:start], mark]
             at = max(at, end)

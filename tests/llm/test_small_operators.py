@@ -122,21 +122,48 @@ SECRETS = [
 ]
 
 
+#: The base rules as the contract writes them, and the others, for Python's re.
+PLAIN_RULES = {
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]+", 0, 16), "github": (r"gh[pousr]_[A-Za-z0-9]+", 0, 40), "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    "google": (r"AIza[A-Za-z0-9_-]+", 0, 39), "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----((?:-{0,4}+[^-])*+-----END [A-Z ]*PRIVATE KEY-----|([\x20\n\r\t]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=]*)*)", 0, 0),
+}
+
+
+def _plain_spans(text):
+    order = [r.kind for r in secret_scans.DEFAULT_RULES]
+    found = []
+    for kind, (pattern, group, least) in PLAIN_RULES.items():
+        # ASCII case alone: (?i) also takes the long s and the Kelvin sign for letters
+        found += [(m.start(), order.index(kind), m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m.group(group)) >= least]
+    return sorted(found)
+
+
 def test_secrets_equal_plain_regexes(spark):
-    df = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
-    rows = {r.doc_id: r for r in secret_scans.scan(df).collect()}
     rng = random.Random(2)
     machine = secret_scans.scanner(secret_scans.DEFAULT_RULES)
-    texts = [t or "" for t in SECRETS] + ["".join(rng.choice(["token", "=", " ", "AKIA", "a", "f0", "9", "Z", '"', "secret", ":"]) for _ in range(60)) for _ in range(500)]
-    for i, text in enumerate(texts):
-        want = []
-        for k, rule in enumerate(secret_scans.DEFAULT_RULES):
-            want += [(m.start(), k, m.end()) for m in re.finditer(rule.pattern, text) if len(m.group(rule.group)) >= rule.least]
-        assert machine.spans(text) == sorted(want), text
-        if i in rows:
-            assert rows[i].spans == machine.shown(sorted(want))
-    clean = {r.doc_id: r.text for r in secret_scans.redact(df).collect()}
+    bits = ["token", "=", " ", "AKIA", "a", "f0", "9", "Z", '"', "secret", ":", "é", "PassWd", "api_key", "APIKEY", "ghp_", "xoxb-", "AIza", "eyJ", ".", "-", "0123456789abcdef", "ABCDEFGHIJKLMNOPQR", "\n", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"]
+    texts = [t or "" for t in SECRETS] + ["".join(rng.choice(bits) for _ in range(60)) for _ in range(1500)]
+    texts += ["".join(rng.choice(bits) for _ in range(30_000)), "eyJ" * 30_000, "a1" * 50_000, "token=" * 20_000, "-----BEGIN PRIVATE KEY-----" * 3000]
+    for text in texts:
+        assert machine.spans(text) == _plain_spans(text), text[:300]
+    rows = [(i, t, "own") for i, t in enumerate(texts)] + [(0, texts[2], "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = sorted(tuple(r) for r in secret_scans.scan(df).collect())
+    kinds = [r.kind for r in secret_scans.DEFAULT_RULES]
+    want = []
+    for i, text, _ in rows:
+        spans = _plain_spans(text)
+        shown = [f"{kinds[k]}:{s}:{e}" for s, k, e in spans]
+        base = ",".join(x for x, (_, k, _) in zip(shown, spans, strict=True) if k < 3)
+        want.append((i, *(sum(k == b for _, k, _ in spans) for b in range(3)), hashlib.sha256(base.encode()).hexdigest(), ",".join(shown)))
+    assert got == sorted(want)
+    assert secret_scans.scan(df.limit(0)).count() == 0
+    small = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secret_scans.redact(small).collect()}
     assert clean[0] is None and clean[9] == "token=short" and "abcdefghijkl" not in clean[13]
+    assert secret_scans.redact(df).columns == df.columns and secret_scans.redact(df.limit(0)).count() == 0
 
 
 def test_whole_private_keys(spark):
