@@ -15,8 +15,12 @@ again sees the same ones. The join is on (lang, source), null-safe, against this
 it is under the session's limit, and otherwise joins by shuffle, where adaptive execution splits a hot source.
 
 Defined results: null and empty texts have no words and fail the fixed rules. A null lang or source is a group of its
-own. Repeated rows are judged alike. An empty table has no thresholds and no rows. Other columns are passed through;
-the measures are added under the names in MEASURES, replacing columns of the same name.
+own. Repeated rows are judged alike. A table of which nothing passes the fixed rules has no thresholds, and then only
+these rules decide; an empty table has no rows. Very long texts are measured whole. Other columns are passed through, by
+keep_good() whatever their names are; apply_rules() adds the measures in place of columns of the same name.
+
+KLL sketches compact at random, within their error (about 0.3 % of ranks at the default size): a document that lies just
+at a fence may be judged otherwise when the table is read anew. Within a run the thresholds are written, so they are one.
 """
 
 from __future__ import annotations
@@ -141,7 +145,8 @@ def thresholds(measured: DataFrame, limits: QualityLimits) -> DataFrame:
             lowest = middle - F.greatest(F.lit(fence.guard), fence.times * (middle - low)) if fence.low else F.lit(None).cast("double")
             return F.struct(lowest.alias("low"), (middle + F.greatest(F.lit(fence.guard), fence.times * (high - middle))).alias("high"))
 
-        return df.select(*by, "n", F.struct(*(bound(m).alias(m) for m in names)).alias("limit"))
+        # without a document there is no quantile to ask for: such a limit is null
+        return df.select(*by, "n", F.when(F.col("n") > 0, F.struct(*(bound(m).alias(m) for m in names))).alias("limit"))
 
     own = bounds(groups, "lang", "source").alias("own")
     tongue = bounds(merged("lang"), "lang").alias("tongue")
@@ -162,21 +167,26 @@ def judge(measured: DataFrame, limits: QualityLimits, bounds: DataFrame) -> Data
     return joined.withColumn("base_failed", base_failed(limits)).withColumn("kept", ~F.col("base_failed") & ~odd).drop("_lang", "_source", "_limit")
 
 
+def _measured_rows(df: DataFrame, limits: QualityLimits, text: str) -> DataFrame:
+    """df's rows as one struct, _row, beside lang, source and MEASURES: so names in df and names of measures never meet.
+
+    Written once, for the sketches and for the join; a filter over the measures can't be pushed below them either."""
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), "lang", "source", F.col(f"`{text}`").alias("_text"))
+    return materialize(measure(rows, limits.window, "_text").drop("_text"), "quality-measures")
+
+
 def apply_rules(df: DataFrame, limits: QualityLimits = QualityLimits(), text: str = "text") -> DataFrame:  # noqa: B008
-    """df with MEASURES, base_failed and kept; df needs lang and source."""
-    measured = measure(df, limits.window, text)
-    # written first: a filter over the measures would be pushed below them, and they worked out anew for each use
-    slim = materialize(measure(df.select("lang", "source", F.col(f"`{text}`")), limits.window, text).drop(text), "quality-measures")
-    return judge(measured, limits, thresholds(slim, limits))
+    """df with MEASURES, base_failed and kept, in place of columns of these names; df needs lang and source."""
+    measured = _measured_rows(df, limits, text)
+    added = (*MEASURES, "base_failed", "kept")
+    own = [F.col(f"_row.`{c}`") for c in df.columns if c.lower() not in added]
+    return judge(measured, limits, thresholds(measured, limits)).select(*own, *added)
 
 
 def keep_good(df: DataFrame, limits: QualityLimits = QualityLimits(), text: str = "text") -> DataFrame:  # noqa: B008
-    """The rows of df that are kept, with their own columns.
-
-    The verdict is asked for as one whole, so that no part of it is pushed below the measures, where the optimizer would
-    put their definitions into the filter.
-    """
-    return apply_rules(df, limits, text).where(F.exists(F.array("kept"), lambda x: x)).select(df.columns)
+    """The rows of df that are kept, with their own columns, whatever their names."""
+    measured = _measured_rows(df, limits, text)
+    return judge(measured, limits, thresholds(measured, limits)).where("kept").select(*(F.col(f"_row.`{c}`") for c in df.columns))
 
 
 def verdicts(df: DataFrame, limits: QualityLimits = QualityLimits(), key: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008

@@ -107,6 +107,53 @@ def test_quality_measures(documents, corpus):
     assert quality_rules.verdicts(documents.limit(0)).count() == 0
 
 
+def test_quality_of_little(spark):
+    schema = "doc_id long, text string, lang string, source string, n_words string, kept string, base_failed string, _text string"
+    bad = spark.createDataFrame([(1, "one short text", "en", "s", "own", "k", "b", "t"), (2, None, None, None, "own", "k", "b", "t"), (3, "", "en", "s", "own", "k", "b", "t")], schema)
+    for df in (bad, bad.where("doc_id > 5"), bad.limit(0)):
+        assert quality_rules.keep_good(df).count() == 0
+        assert [r.kept for r in quality_rules.verdicts(df).collect()] == [False] * df.count()
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100_000))
+    good = spark.createDataFrame([(i, long if i == 7 else long[200 * i : 200 * i + 400], "en", "s", "own", "k", "b", "t") for i in range(30)] * 2, schema)
+    kept = quality_rules.keep_good(good)
+    assert kept.columns == good.columns and kept.count() == 60
+    assert {tuple(r)[4:] for r in kept.collect()} == {("own", "k", "b", "t")}
+    assert quality_rules.apply_rules(good).where("doc_id = 7").first().n_words == 100_000
+
+
+def _exact_bounds(rows, limits):
+    """Thresholds by exact quantiles of (group, metrics) rows, for groups that are large enough."""
+    out = {}
+    for group in {g for g, _ in rows}:
+        own = [m for g, m in rows if g == group]
+        for name, fence in limits.fences:
+            values = sorted(m[name] for m in own)
+            rank = lambda q: values[max(0, math.ceil(q * len(values)) - 1)]  # noqa: B023, E731
+            middle = rank(0.5)
+            out[group, name] = (middle - max(fence.guard, fence.times * (middle - rank(1 - fence.quantile))) if fence.low else -math.inf, middle + max(fence.guard, fence.times * (rank(fence.quantile) - middle)))
+    return out
+
+
+def test_quality_verdicts_by_exact_quantiles(spark):
+    """Groups below the sketch's size keep every value, so verdicts are those of exact quantiles."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        size, noise = (4, 7)[i % 2], rng.random()
+        lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(max(1, size + rng.randint(-2, 2 + 6 * (noise > 0.97))))) for _ in range(6)) for _ in range(8)]
+        lines += [lines[0]] * (rng.randint(0, 5) if noise < 0.08 else 0)
+        lines += ["# * $ | " * rng.randint(1, 4)] if 0.1 < noise < 0.15 else []
+        rows.append((i, "\n".join(lines), "en", f"s{i % 2}"))
+    limits = quality_rules.QualityLimits()
+    got = quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), limits).collect()
+    values = {r.doc_id: {"symbols": r.n_symbols / r.word_chars, "dup_lines": r.n_dup_lines / r.n_lines, "repeats": r.n_repeat_words / r.n_words, "word_length": r.word_chars / r.n_words} for r in got}
+    assert all(r.n_symbols == sum(c in "#*$%&|<>" for c in rows[r.doc_id][1]) for r in got)
+    bounds = _exact_bounds([(r.doc_id % 2, values[r.doc_id]) for r in got if not r.base_failed], limits)
+    want = {r.doc_id: not r.base_failed and all(bounds[r.doc_id % 2, m][0] <= v <= bounds[r.doc_id % 2, m][1] for m, v in values[r.doc_id].items()) for r in got}
+    assert {r.doc_id: r.kept for r in got} == want and len(set(want.values())) == 2
+
+
 def test_quality_follows_the_data(spark):
     rng = random.Random(4)
     clean = [(i, " ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(50)), "en", "s") for i in range(300)]
