@@ -31,8 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a local one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on one machine (tests), one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-knotwork-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -52,6 +54,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read any more."""
+    import pyarrow.fs
+
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            store, path = pyarrow.fs.FileSystem.from_uri(folder)
+            store.delete_dir(path)
+
+
 def release(spark: SparkSession) -> None:
     """Free the shuffle files of finished jobs, to be called once their DataFrames are out of reach.
 
