@@ -216,6 +216,7 @@ def repeated_runs(df: DataFrame, least: int = 200, gram: int = 40, shard_bytes:
     keyed = _keyed(df, key, text)
     rows = materialize(_anchor_rows(keyed, least, gram, text), "anchors")
     grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
+    grams = materialize(grams, "grams")  # so that both sides of the join are plain shuffles, which Spark can split where a gram is hot
     shared = materialize(rows.join(grams, "gram"), "shared")
     mixed = shared.where("mixed")
     kinds = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start", "starts")).alias("one"))
@@ -223,6 +224,7 @@ def repeated_runs(df: DataFrame, least: int = 200, gram: int = 40, shard_bytes:
     hot = materialize(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > most_contexts).select("gram"), "hot")
     contexts = materialize(_contexts(keyed, kinds, least, text), "contexts")
     partly = _sharded(contexts.join(hot, "gram", "left_anti"), least, shard_bytes).unionByName(_hashed(contexts.join(hot, "gram", "left_semi"), least))
+    partly = materialize(partly, "partly")
     whole = kinds.where("n > 1").select("gram", "context", F.lit(True).alias("whole"))
     solved = whole.join(partly, ["gram", "context"], "full").select("gram", "context", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
     solved = materialize(solved, "solved")
