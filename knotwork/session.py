@@ -47,21 +47,41 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that materialize() has written and nobody has deleted yet.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing will read any more."""
+def _delete(folder: str) -> None:
     import pyarrow.fs
 
-    for df in tables:
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            store, path = pyarrow.fs.FileSystem.from_uri(folder)
-            store.delete_dir(path)
+    store, path = pyarrow.fs.FileSystem.from_uri(folder)
+    if store.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
+        store.delete_dir(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read any more."""
+    for file in {x for df in tables for x in df.inputFiles()}:
+        folder = next((w for w in _written if w.rpartition("/")[2] in file.split("/")), None)
+        if folder:
+            _written.remove(folder)
+            _delete(folder)
+
+
+def discard_others(*kept: DataFrame) -> None:
+    """Delete every written table that the kept ones don't read: for a caller that has written all else it wants."""
+    names = {part for df in kept for file in df.inputFiles() for part in file.split("/")}
+    for folder in [w for w in _written if w.rpartition("/")[2] not in names]:
+        _written.remove(folder)
+        _delete(folder)
 
 
 def release(spark: SparkSession) -> None:
