@@ -87,6 +87,22 @@ def test_jaccard_keeps_rows_not_ids(spark):
     assert kept == sorted([(1, far[0]), (1, far[1]), (2, far[2]), (None, far[3]), (5, None), (5, "")], key=str)
 
 
+@pytest.mark.parametrize("apart", [8, 14])
+def test_jaccard_of_many_near_copies(spark, apart):
+    """A group of copies with so many changes that some are linked only with some others."""
+    rng = random.Random(apart)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+    texts = []
+    for _ in range(150):
+        near = list(base)
+        for _ in range(rng.randint(0, apart)):
+            near[rng.randrange(len(near))] = "".join(rng.choice("klmnop") for _ in range(6))
+        texts.append(" ".join(near))
+    want = _classes(texts, 5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len({c for _, c in want}) > 1
+
+
 def test_jaccard_of_nothing(documents):
     assert jaccard_join.classes(documents.limit(0)).count() == 0
 
