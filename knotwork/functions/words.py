@@ -48,7 +48,7 @@ def stem(word: Column) -> Column:
 
 
 def stems(name: Column) -> Column:
-    return F.array_distinct(F.transform(words(name), stem))
+    return F.array_distinct(F.transform(F.array_distinct(words(name)), stem))
 
 
 def namespace_of(ident: Column) -> Column:

@@ -22,9 +22,9 @@ def frequencies(weights: DataFrame) -> DataFrame:
     return weights.groupBy("stem").agg(F.count_if(F.col("weight") >= OWNER).alias("df"))
 
 
-def common_stems(weights: DataFrame, total: int) -> DataFrame:
-    """Stems that more than half of all nodes have."""
-    return weights.groupBy("stem").agg(F.count(F.lit(1)).alias("nodes")).where(2 * F.col("nodes") > total)
+def common_stems(weights: DataFrame, total: int, part: int = 2) -> DataFrame:
+    """Stems that more than one in part of all nodes has; half of them unless told otherwise."""
+    return weights.groupBy("stem").agg(F.count(F.lit(1)).alias("nodes")).where(part * F.col("nodes") > total)
 
 
 def relevance(weights: DataFrame, df: DataFrame, total: int, terms: list[str]) -> DataFrame:

@@ -127,13 +127,19 @@ def match_routes(requests: DataFrame, routes: DataFrame, most: int = 5) -> DataF
     return ranked.select("request", "route", "holes", "rank")
 
 
-def follow_aliases(aliases: DataFrame, depth: int = 10) -> DataFrame:
-    """(id, class): the end of each chain of alias(id, target); a chain longer than depth, or a ring, has none."""
-    state = aliases.select("id", F.col("target").alias("class"))
-    steps = aliases.select(F.col("id").alias("class"), F.col("target").alias("next"))
-    for _ in range(depth):
-        state = materialize(state.join(steps, "class", "left").select("id", F.coalesce("next", "class").alias("class")), "aliases")
-    open_ended = steps.select("class").distinct()
+def follow_aliases(aliases: DataFrame) -> DataFrame:
+    """(id, class): the end of each chain of alias(id, target), however long; a chain that runs into a ring has none.
+
+    Every round follows each pointer's pointer, so chains halve; after as many rounds as double one to the number of aliases,
+    only rings are left."""
+    state = materialize(aliases.select("id", F.col("target").alias("class")), "aliases")
+    most = state.count()
+    open_ended = state.select(F.col("id").alias("class")).distinct()
+    for _ in range(most.bit_length()):
+        ahead = state.select(F.col("id").alias("class"), F.col("class").alias("next"))
+        state = materialize(state.join(ahead, "class", "left").select("id", F.coalesce("next", "class").alias("class")), "aliases")
+        if not state.join(open_ended, "class", "left_semi").limit(1).count():
+            break
     return state.join(open_ended, "class", "left_anti").select("id", "class")
 
 

@@ -23,6 +23,7 @@ GENERIC = {
     "infrastructure": ("persistence",),
     "interface": ("controller", "controllers", "http", "api", "cli"),
 }
+NOT_IN_RULES = ("api",)
 FORBIDDEN = (
     ("domain", "application"), ("domain", "infrastructure"), ("domain", "interface"), ("application", "infrastructure"),
     ("application", "interface"), ("port", "infrastructure"), ("port", "interface"),
@@ -83,14 +84,23 @@ def layered(edges: DataFrame) -> DataFrame:
     return out.withColumns({"from_context": context(F.col("_s"), F.col("from_layer")), "to_context": context(F.col("_t"), F.col("to_layer"))}).drop("_s", "_t")
 
 
+def rule_role(ident: Column) -> Column:
+    """The layer that rules on dependencies see: that of the class, unless its segment is too vague for rules."""
+    parts = namespace_of(ident)
+    found = layer(parts)
+    return F.when(~F.lower(F.get(parts, found["position"])).isin(*NOT_IN_RULES), found["role"])
+
+
 def layer_violations(edges: DataFrame) -> DataFrame:
-    """(source, target, from_role, to_role, n, confidence): class pairs against the layers' rules, with the strongest confidence."""
-    forbidden = F.lit(False)
-    for a, b in FORBIDDEN:
-        forbidden = forbidden | ((F.col("from_layer.role") == a) & (F.col("to_layer.role") == b))
-    broken = layered(edges).where(forbidden)
+    """(source, target, from_role, to_role, n, confidence): class pairs against the layers' rules, with the strongest confidence.
+
+    Guesses (ambiguous edges) break no rule. Edges are counted by pairs first, so that layers are found for pairs and not for
+    every edge."""
     best = F.min_by("confidence", confidence_rank(F.col("confidence")))
-    return broken.groupBy("source", "target", F.col("from_layer.role").alias("from_role"), F.col("to_layer.role").alias("to_role")).agg(F.count(F.lit(1)).alias("n"), best.alias("confidence"))
+    pairs = edges.where("confidence <> 'AMBIGUOUS'").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), best.alias("confidence"))
+    placed = pairs.withColumns({"from_role": rule_role(F.col("source")), "to_role": rule_role(F.col("target"))})
+    forbidden = F.struct("from_role", "to_role").isin(*(F.struct(F.lit(a), F.lit(b)) for a, b in FORBIDDEN))
+    return placed.where(forbidden).select("source", "target", "from_role", "to_role", "n", "confidence")
 
 
 def context_pairs(edges: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Fixpoints over the graph: reachability with confidences, closures, shortest paths, cones.
 
 Each level is one join of the frontier with the edges, and a left-anti join with what was reached; its rows are written to
-the shared folder, so lineage stays short. The driver holds only whether a level had rows.
+the shared folder, so lineage stays short. The steps are written once, dealt out by where they start. The driver holds only
+whether a level had rows. Loops go on until a level is empty; a bound on depth holds only where the caller gives one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import count, takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +22,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 100, backward: bool = True) -> DataFrame:
+def _depths(most: int | None) -> Iterator[int]:
+    return takewhile(lambda d: most is None or d <= most, count(1))
+
+
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, backward: bool = True) -> DataFrame:
     """(start, id, depth, rank) of what is reached from each row (start) of starts: the least depth, and at that depth the
     strongest of the paths' weakest confidences (1 is strongest). backward: along edges to their sources, as impact goes."""
     near, far = ("target", "source") if backward else ("source", "target")
     steps = edges.select(F.col(near).alias("_at"), F.col(far).alias("_to"), confidence_rank(F.col("confidence")).alias("_rank"))
-    steps = steps.groupBy("_at", "_to").agg(F.min("_rank").alias("_rank"))
+    steps = materialize(steps.groupBy("_at", "_to").agg(F.min("_rank").alias("_rank")).repartition("_at"), "steps")
     level = materialize(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth"), F.lit(1).alias("rank")).distinct(), "reach")
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in _depths(max_depth):
         ahead = level.join(steps, level["id"] == steps["_at"]).groupBy("start", F.col("_to").alias("id")).agg(F.min(F.greatest("rank", "_rank")).alias("rank"))
         seen = _union(levels).select("start", "id")
         level = materialize(ahead.join(seen, ["start", "id"], "left_anti").select("start", "id", F.lit(depth).alias("depth"), "rank"), "reach")
@@ -53,7 +60,7 @@ def family_heads(edges: DataFrame, relations: tuple[str, ...], members: DataFram
     return near.select("id", "best.head", "best.depth")
 
 
-def shortest_paths(edges: DataFrame, start: str, mode: str = "dependency", reversible: tuple[str, ...] = ("implements", "extends", "overrides", "has_method"), blocked: DataFrame | None = None, max_depth: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: str, mode: str = "dependency", reversible: tuple[str, ...] = ("implements", "extends", "overrides", "has_method"), blocked: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(id, hops, previous, relation, forward): one shortest path from start to each node, as its last hop.
 
     dependency goes along edges, and against those of reversible relations; undirected goes both ways. Nodes in blocked
@@ -67,11 +74,11 @@ def shortest_paths(edges: DataFrame, start: str, mode: str = "dependency", rever
     back = edges.select(F.col("target").alias("_at"), F.col("source").alias("_to"), "relation", F.lit(False).alias("forward"))
     if mode == "dependency":
         back = back.where(F.col("relation").isin(*reversible))
-    steps = ahead.unionByName(back).withColumn("weight", weight)
+    steps = materialize(ahead.unionByName(back).withColumn("weight", weight).distinct(), "steps")
     spark = edges.sparkSession
     level = spark.createDataFrame([(start, 0, None, None, None)], "id string, hops int, previous string, relation string, forward boolean")
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in _depths(max_depth):
         origin = level.select(F.col("id").alias("_at"))
         if blocked is not None and depth > 1:
             origin = origin.join(blocked.select(F.col("id").alias("_at")), "_at", "left_anti")
@@ -105,14 +112,14 @@ def method_cone(edges: DataFrame, start: str, depth: int = 3, hub: int = 20, rel
     return cone.join(busy.withColumn("is_hub", F.lit(True)), "id", "left").select("id", "depth", F.coalesce("is_hub", F.lit(False)).alias("is_hub"))
 
 
-def up_then_down(edges: DataFrame, start: str, max_depth: int = 100) -> DataFrame:
+def up_then_down(edges: DataFrame, start: str, max_depth: int | None = None) -> DataFrame:
     """(id, hops): what is reached by going to sources for some steps and then to targets for some, never up again."""
     steps_up = edges.select(F.col("target").alias("_at"), F.col("source").alias("_to"), F.lit("up").alias("way")).distinct()
     steps_down = edges.select(F.col("source").alias("_at"), F.col("target").alias("_to"), F.lit("down").alias("way")).distinct()
-    steps = steps_up.unionByName(steps_down)
+    steps = materialize(steps_up.unionByName(steps_down), "steps")
     level = edges.sparkSession.createDataFrame([(start, "up", 0)], "id string, state string, hops int")
     levels = [level]
-    for d in range(1, max_depth + 1):
+    for d in _depths(max_depth):
         found = level.join(steps, level["id"] == steps["_at"]).where("not (state = 'down' and way = 'up')").select(F.col("_to").alias("id"), F.col("way").alias("state")).distinct()
         level = materialize(found.join(_union(levels).select("id", "state"), ["id", "state"], "left_anti").withColumn("hops", F.lit(d)), "ways")
         if not level.limit(1).count():

@@ -66,6 +66,10 @@ def _query(sql: str | None) -> Callable:
     return keep
 
 
+#: For other modules that register queries.
+query = _query
+
+
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_edges(tables.trade_edges(spark, sf_dir))
 
@@ -224,7 +228,7 @@ def boundary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""with {_CLASSES} select source, target, from_role, to_role, count(*) as n, arg_min(confidence, {_RANK}) as confidence from deps
-where (from_role, to_role) in (('domain', 'application'), ('domain', 'infrastructure'), ('domain', 'interface'), ('application', 'infrastructure'), ('application', 'interface'), ('port', 'infrastructure'), ('port', 'interface')) group by all""")
+where confidence <> 'AMBIGUOUS' and (from_role, to_role) in (('domain', 'application'), ('domain', 'infrastructure'), ('domain', 'interface'), ('application', 'infrastructure'), ('application', 'interface'), ('port', 'infrastructure'), ('port', 'interface')) group by all""")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.layer_violations(tables.class_edges(spark, sf_dir))
 
@@ -308,17 +312,19 @@ def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"with {_stems_sql('select doc_id as id, text as name, 3.0::double as weight from documents')} select stem, count(*) as df from weights group by stem")
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each stem occurs."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(stems(F.col("text"))).alias("stem"))
-    return rows.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
+    return relevance.frequencies(_text_weights(table(spark, sf_dir, "documents")))
+
+
+def _text_weights(docs: DataFrame) -> DataFrame:
+    """(id, stem, weight) of texts as names; a text has each stem once."""
+    return docs.select(F.col("doc_id").alias("id"), F.explode(stems(F.col("text"))).alias("stem"), F.lit(relevance.NAME).alias("weight"))
 
 
 @_query(f"with {_stems_sql('select doc_id as id, text as name, 3.0::double as weight from documents')}, n as (select count(*) as n from documents) select stem, count(*) as nodes from weights, n group by stem, n.n having 10 * count(*) > n.n")
 def common_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems that more than a tenth of all documents have."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.explode(stems(F.col("text"))).alias("stem"))
-    counted = rows.groupBy("stem").agg(F.count(F.lit(1)).alias("nodes"))
-    return counted.where(10 * F.col("nodes") > docs.count())
+    return relevance.common_stems(_text_weights(docs), docs.count(), part=10)
 
 
 _SCORES = f"""with {_stems_sql(_PART_NAMES)}, df as (select stem, count(*) filter (weight >= 2) as df from weights group by stem), total as (select count(*)::double as n from part),

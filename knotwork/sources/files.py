@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Endings of files that are read, folders left out by default, and other languages by ending.
 READ = ("php", "json", "yaml", "yml", "xml", "proto")
-SKIPPED = ("vendor", "node_modules", "var", "cache", ".git")
+SKIPPED = ("vendor", "node_modules", "var", ".git")
 LANGUAGES = {"py": "Python", "js": "JavaScript", "ts": "TypeScript", "java": "Java", "go": "Go", "rb": "Ruby", "rs": "Rust", "cs": "C#", "kt": "Kotlin"}
 
 
@@ -23,30 +23,39 @@ def scan_tree(spark: SparkSession, root: str, excludes: tuple[str, ...] = SKIPPE
     return out.where(~F.arrays_overlap(folders, F.array(*(F.lit(x) for x in excludes))) & ~F.col("path").endswith(".blade.php"))
 
 
-def ignore_rules(file: str, text: str) -> list[tuple[str, bool, str]]:
-    """(folder, negated, regular expression over the full path) of the lines of an ignore file, in order."""
+def ignore_rules(file: str, text: str) -> list[tuple[str, bool, bool, str]]:
+    """(folder, negated, directories only, regular expression over a path) of the lines of an ignore file, in order."""
     folder = file.rpartition("/")[0]
     rules = []
     for line in text.splitlines():
-        line = line.rstrip()
+        line = re.sub(r"(?<!\\)\s+$", "", line)
         if not line or line.startswith("#"):
             continue
         negated = line.startswith("!")
         line = line[negated:]
         anchored = "/" in line.rstrip("/")
-        body = line.strip("/")
-        made = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in re.findall(r"\*\*|\*|\?|[^*?]+", body))
+        parts = re.findall(r"\\.|\*\*/|\*\*|\*|\?|\[[^\]]+\]|[^*?\\\[]+|\[", line.strip("/"))
+        known = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+        made = "".join(known.get(p) or (re.escape(p[1]) if p[0] == "\\" else p.replace("[!", "[^") if len(p) > 1 and p[0] == "[" else re.escape(p)) for p in parts)
         lead = f"{re.escape(folder)}/" if folder else ""
-        rules.append((folder, negated, f"^{lead}{'' if anchored else '(?:.*/)?'}{made}(?:/.*)?$"))
+        rules.append((folder, negated, line.endswith("/"), f"^{lead}{'' if anchored else '(?:.*/)?'}{made}$"))
     return rules
 
 
-def without_ignored(files: DataFrame, rules: list[tuple[str, bool, str]]) -> DataFrame:
-    """files that the ignore rules leave: the last rule that matches decides, those of deeper files after those above."""
-    ignored: Column = F.lit(False)
-    for _, negated, pattern in sorted(rules, key=lambda r: r[0].count("/") + bool(r[0])):
-        ignored = F.when(F.col("path").rlike(pattern), not negated).otherwise(ignored)
-    return files.where(~ignored)
+def without_ignored(files: DataFrame, rules: list[tuple[str, bool, bool, str]]) -> DataFrame:
+    """files that the ignore rules leave: for a path and for each directory above it, the last rule that matches decides, those
+    of deeper files after those above; nothing below an ignored directory comes back."""
+    ordered = sorted(rules, key=lambda r: r[0].count("/") + bool(r[0]))
+
+    def ignored(step: Column) -> Column:
+        out: Column = F.lit(False)
+        for _, negated, only, pattern in ordered:
+            out = F.when(step["path"].rlike(pattern) & (step["folder"] | F.lit(not only)), not negated).otherwise(out)
+        return out
+
+    parts = F.split("path", "/")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("path"), (k < F.size(parts)).alias("folder")))
+    return files.where(~F.exists(steps, ignored)) if rules else files
 
 
 def classified(files: DataFrame) -> DataFrame:
@@ -57,7 +66,7 @@ def classified(files: DataFrame) -> DataFrame:
         F.when(path.endswith(".php"), "code")
         .when(path.rlike(r"(^|/)composer\.(json|lock)$"), "composer")
         .when(path.endswith(".proto"), "proto")
-        .when(is_data & head.rlike(r"(?m)[\"']?(openapi|swagger)[\"']?\s*:"), "openapi")
+        .when(is_data & head.rlike(r"(?m)^[\s{]*[\"']?(openapi|swagger)[\"']?\s*:"), "openapi")
         .when(path.rlike(r"\.ya?ml$") & path.rlike(r"(^|/)rout(es|ing)"), "routing")
         .when(path.rlike(r"(^|/)config/") | path.rlike(r"(^|/)services\.(ya?ml|xml)$"), "configuration")
         .otherwise("other")

@@ -23,6 +23,24 @@ def test_tree(spark, tmp_path):
     assert [r.path for r in files.changed_files(files.scan_tree(spark, str(tmp_path)), known.where("path <> 'none'")).collect()] in ([], ["src/A.php"])
 
 
+def test_ignore_rules(spark):
+    rules = files.ignore_rules(".gitignore", "build/\n!build/keep.php\n*.tmp.php\n/top.php\nlogs\ndocs/**/x.php\n\\!odd.php\n[ab].php\n")
+    rules += files.ignore_rules("sub/.gitignore", "!y.tmp.php\nonly/\n")
+    left = {
+        "build/keep.php": False, "a/build": True, "a/build/z.php": False, "x.tmp.php": False, "sub/y.tmp.php": True, "top.php": False, "a/top.php": True, "logs": False, "a/logs/b.php": False,
+        "docs/x.php": False, "docs/p/q/x.php": False, "docs/p/y.php": True, "!odd.php": False, "odd.php": True, "a.php": False, "c.php": True, "sub/only": True, "sub/only/c.php": False, "only/c.php": True,
+    }
+    df = spark.createDataFrame([(p,) for p in left], "path string")
+    assert {r.path for r in files.without_ignored(df, rules).collect()} == {p for p, stays in left.items() if stays}
+    assert files.without_ignored(df, []).count() == len(left)
+
+
+def test_schema_files_by_their_key(spark):
+    texts = {"a.yaml": b"# one\nopenapi: 3.0.0\n", "b.json": b'{"swagger": "2.0"}', "c.yaml": b"note: about openapi: a text", "d.json": b'{\n  "openapi" : "3"}'}
+    df = spark.createDataFrame([(p, bytearray(t)) for p, t in texts.items()], "path string, content binary")
+    assert {r.path for r in files.classified(df).where("kind = 'openapi'").collect()} == {"a.yaml", "b.json", "d.json"}
+
+
 def test_other_languages(spark):
     df = spark.createDataFrame([("a.py",), ("b.py",), ("c.go",), ("d.php",)], "path string")
     assert [tuple(r) for r in files.other_languages(df).collect()] == [("Python", 2), ("Go", 1)]
