@@ -4,7 +4,7 @@ A document's ids are cut into full windows and one remainder. The remainders of
 windows by differencing: each remainder starts as a partition of the windows that holds it alone; the two partitions of
 the largest imbalance are merged again and again, the fullest window of one with the emptiest of the other, until one
 partition is left, whose windows are nearly equal. It starts with the fewest windows that could hold the group; while
-the fullest one exceeds the capacity, the number rises by one and the group is dealt anew.
+the fullest one exceeds the capacity, the number rises and the group is dealt anew.
 
 A group is a run of consecutive rows of one task, so nothing is shuffled, memory is bounded by the group, and a lost
 task gives the same windows when it runs again. A window's id is made of the task's partition and a count.
@@ -65,14 +65,18 @@ def difference(lengths: list[int], windows: int) -> np.ndarray:
 
 
 def balance(lengths: list[int], capacity: int) -> tuple[np.ndarray, int]:
-    """The window of each item and the number of windows: the fewest from the total up whose fullest window fits."""
+    """The window of each item and the number of windows, which rises from the fewest that the total needs until the fullest
+    one fits: by one at least, and by what the fullest one's excess over the mean would need."""
     total = sum(lengths)
     windows = max(1, -(-total // capacity))
     while True:
         window = difference(lengths, windows)
-        if np.bincount(window, weights=lengths, minlength=windows).max(initial=0) <= capacity:
+        fullest = int(np.bincount(window, weights=lengths, minlength=windows).max(initial=0))
+        if fullest <= capacity:
             return window, windows
-        windows += 1
+        over = fullest - total / windows
+        # half of the way that an unchanged excess would ask for: near the end of it windows are added one by one
+        windows += max(1, int((total / max(1.0, capacity - over) - windows) / 2)) if over < capacity else 1
 
 
 class Packer:

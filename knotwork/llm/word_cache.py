@@ -11,6 +11,7 @@ forms that are known here, and texts are encoded whole by the library where the
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -44,6 +45,8 @@ class CachedTokenizer:
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        # a worker makes many short-lived lists and no cycles: the cycle collector would only walk through them again and again
+        gc.set_threshold(100_000, 50, 100)
         from tokenizers import Tokenizer
 
         with open(tokenizer_file, encoding="utf-8") as file:

@@ -83,6 +83,12 @@ def test_packing_covers_every_id_once(spark, odd):
     by_start = {}
     for r in rows:
         by_start.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    # every document whose id and length occur once: its pieces in order are its ids
+    for (doc, size), pieces in by_start.items():
+        pieces.sort(key=lambda r: r.start)
+        want = [*plain.encode((ODD_TEXTS[3] if doc is None else ODD_TEXTS[doc]) or "", add_special_tokens=False).ids, 1]
+        assert [x for r in pieces for x in r.ids] == want and len(want) == size
+        assert [r.start for r in pieces] == [sum(q.length for q in pieces[:k]) for k in range(len(pieces))]
     whole = sorted(tuple(x for r in sorted(v, key=lambda r: r.start) for x in r.ids) for k, v in by_start.items() if k[0] == 15)
     assert whole == [(*plain.encode("word " * 5000, add_special_tokens=False).ids, 1)]
     assert sum(r.length for r in rows) == sum(len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for t in ODD_TEXTS)
@@ -96,6 +102,9 @@ def test_differencing_balances():
         sums = np.bincount(window, weights=lengths, minlength=n)
         assert sums.max() <= 2048 and sums.sum() == sum(lengths)
         assert n <= -(-sum(lengths) // 2048) * 1.34 + 2
+    # many small remainders, as texts give them, pack tightly
+    small = [rng.randint(1, 700) for _ in range(512)]
+    assert packing.balance(small, 2048)[1] <= -(-sum(small) // 2048) * 1.06
 
 
 def test_shards(spark, odd):
