@@ -76,12 +76,18 @@ def discard(*tables: DataFrame) -> None:
             _delete(folder)
 
 
-def discard_others(*kept: DataFrame) -> None:
-    """Delete every written table that the kept ones don't read: for a caller that has written all else it wants."""
+def written() -> list[str]:
+    """The folders of the written tables that are still there."""
+    return list(_written)
+
+
+def discard_folders(folders: list[str], *kept: DataFrame) -> None:
+    """Delete those of the written tables in folders that the kept ones don't read."""
     names = {part for df in kept for file in df.inputFiles() for part in file.split("/")}
-    for folder in [w for w in _written if w.rpartition("/")[2] not in names]:
-        _written.remove(folder)
-        _delete(folder)
+    for folder in folders:
+        if folder in _written and folder.rpartition("/")[2] not in names:
+            _written.remove(folder)
+            _delete(folder)
 
 
 def release(spark: SparkSession) -> None:
