@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from knotwork.operators import graph, relevance, resolve, rollup, traverse
+from knotwork.operators import graph, relevance, resolve, rollup, traverse, wiring
+from pyspark.sql import functions as F
 
 
 def edges(spark, rows):
@@ -162,3 +163,11 @@ def test_canonical_names(spark):
     declared = spark.createDataFrame([("App\\Order", None), ("App\\Order", "billing"), ("Shared\\Money", None)], "id string, service string")
     asked = spark.createDataFrame([("billing", "\\app\\order"), ("billing", "SHARED\\money"), (None, "app\\ORDER"), ("x", "No")], "service string, name string")
     assert {(r.service, r.name): r.id for r in resolve.canonical(asked, declared).collect()} == {("billing", "\\app\\order"): "App\\Order", ("billing", "SHARED\\money"): "Shared\\Money", (None, "app\\ORDER"): "App\\Order", ("x", "No"): None}
+
+
+def test_application_nodes_and_rings(spark):
+    df = spark.createDataFrame([("class", "a.php", False), ("external", "a.php", False), ("class", None, False), ("class", "t.php", True)], "kind string, file string, in_tests boolean")
+    assert [r[0] for r in df.select(wiring.is_application(F.col("kind"), F.col("file"), F.col("in_tests"))).collect()] == [True, False, False, False]
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("s", "r1")]
+    ends = {tuple(r) for r in resolve.follow_aliases(spark.createDataFrame(chain, "id string, target string")).collect()}
+    assert ends == {(f"n{i}", "n40") for i in range(40)}
