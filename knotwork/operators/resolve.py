@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.words import path_segments
-from knotwork.operators.traverse import closure
+from knotwork.operators.traverse import closure, ranked_lineage
 from knotwork.session import materialize
 
 
@@ -28,14 +28,43 @@ def service_of(files: DataFrame, services: DataFrame) -> DataFrame:
     return files.select("path").join(best, "path", "left")
 
 
-def find_methods(methods: DataFrame, edges: DataFrame) -> DataFrame:
-    """(class, name, method, depth): the declaration of each method that a class has, its own or the nearest ancestor's."""
-    above = closure(edges, ("extends", "implements", "uses_trait"))
-    own = methods.select(F.col("class").alias("start"), F.col("class").alias("id"), F.lit(0).alias("depth"))
-    lineage = above.unionByName(own).distinct()
-    found = lineage.join(methods.select(F.col("class").alias("id"), "name", "method"), "id")
-    best = found.groupBy(F.col("start").alias("class"), "name").agg(F.min(F.struct("depth", "id", "method")).alias("best"))
-    return best.select("class", "name", "best.method", "best.depth")
+def find_methods(methods: DataFrame, edges: DataFrame, mixins: DataFrame | None = None) -> DataFrame:
+    """(class, name, method, depth): the declaration of each method that a class has, from methods(class, name, method[, project]).
+
+    A depth-first search over parents, then interfaces, then traits finds it; what the project declares comes before what
+    its dependencies do (project: false). Where the lineage has none, the mixins(class, mixin) of the class, then those of
+    its ancestors in that order, are asked in the same way. depth: steps within the lineage of the class or of the last mixin.
+    """
+    project = F.col("project") if "project" in methods.columns else F.lit(True)
+    above = ranked_lineage(edges, ("extends", "implements", "uses_trait"))
+    alone = methods.select("class") if mixins is None else methods.select("class").union(mixins.select("class")).union(mixins.select("mixin"))
+    missing = alone.distinct().withColumnsRenamed({"class": "start"}).join(above, "start", "left_anti")
+    lineage = above.unionByName(missing.select("start", F.col("start").alias("id"), F.array().cast(above.schema["path"].dataType).alias("path")))
+    owned = methods.select(F.col("class").alias("id"), "name", "method", F.when(project, 0).otherwise(1).alias("turn"))
+    block = F.array(F.struct("turn", "path", F.col("start").alias("via")))
+    keyed = lineage.join(owned, "id").select(F.col("start").alias("class"), "name", "method", block.alias("key"), F.size("path").alias("depth"))
+    first = F.min(F.struct("key", "method", "depth")).alias("best")
+    found = keyed.groupBy("class", "name").agg(first).select("class", "name", "best.*")
+    if mixins is not None:
+        found = _through_mixins(found, lineage, mixins)
+    return found.select("class", "name", "method", "depth")
+
+
+def _through_mixins(found: DataFrame, lineage: DataFrame, mixins: DataFrame) -> DataFrame:
+    """found(class, name, key, method, depth) with what mixins add. Every round adds one mixin to the front of a way; a way
+    that comes back to its own class is none."""
+    ways = lineage.join(mixins.select(F.col("class").alias("id"), "mixin"), "id").select("start", "mixin", F.struct(F.lit(2).alias("turn"), "path", F.col("mixin").alias("via")).alias("front"))
+    ways = materialize(ways.distinct().repartition("mixin"), "mixins")
+    first = F.min(F.struct("key", "method", "depth")).alias("best")
+    found = level = materialize(found, "found")
+    while level.limit(1).count():
+        ahead = level.withColumnRenamed("class", "mixin").join(ways, "mixin").where(~F.exists("key", lambda k: k["via"] == F.col("start")))
+        ahead = ahead.select(F.col("start").alias("class"), "name", F.concat(F.array("front"), "key").alias("key"), "method", "depth")
+        ahead = ahead.groupBy("class", "name").agg(first).select("class", "name", "best.*")
+        known = found.select("class", "name", F.col("key").alias("_old"))
+        level = materialize(ahead.join(known, ["class", "name"], "left").where("_old is null or key < _old").drop("_old"), "found")
+        found = materialize(found.unionByName(level).groupBy("class", "name").agg(first).select("class", "name", "best.*"), "found")
+    return found
 
 
 def overrides(methods: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,24 +134,49 @@ def contracts(sends: DataFrame, handlers: DataFrame) -> DataFrame:
 
 
 def _literal(segment: Column) -> Column:
-    return ~segment.rlike(r"^\{.*\}$|^\*$")
+    return ~segment.rlike(r"\{[^}]*\}|\*")
+
+
+def _as_pattern(segment: Column, hole: str, filling: str) -> Column:
+    """A segment as a regular expression: its holes take the filling, all else stands for itself."""
+    marked = F.regexp_replace(segment, hole, "\u0001")
+    return F.concat(F.lit("^"), F.replace(F.regexp_replace(marked, "([^A-Za-z0-9_\u0001])", r"\\$1"), F.lit("\u0001"), F.lit(filling)), F.lit("$"))
+
+
+def _meets(asked: Column, offered: Column) -> Column:
+    """Whether a segment asked for may be the one offered: * and braces stand for any, or for a part."""
+    whole = (asked == offered) | (asked == "*") | offered.rlike(r"^\{[^}]*\}$")
+    part_asked = asked.contains("*") & F.rlike(offered, _as_pattern(asked, r"\*", ".*"))
+    part_offered = offered.contains("{") & F.rlike(asked, _as_pattern(offered, r"\{[^}]*\}", "[^/]+"))
+    return whole | part_asked | part_offered
+
+
+def _all_meet(asked: Column, offered: Column) -> Column:
+    return F.forall(F.zip_with(asked, offered, _meets), lambda x: x)
 
 
 def match_routes(requests: DataFrame, routes: DataFrame, most: int = 5) -> DataFrame:
-    """(request, route, holes, rank): routes(route, method, path) that a request(request, method, path) may mean, most specific first.
+    """(request, route, holes, rank): routes(route, method, path[, host]) that a request(request, method, path[, host]) may
+    mean, most specific first.
 
-    Paths meet on the number of segments, and on the first segment where the route's is a literal: an equi-join; the rest
-    is compared on what is left. A segment in braces (or *) stands for any. A route without method takes all.
+    Paths meet on the number of segments, and on the first segment where it is a literal on both sides: an equi-join; the
+    rest is compared on what is left. Braces in a route and * in a request stand for any segment or part of one. A route
+    without method takes all; a route or a request without host (null or *) meets any, others must agree label by label.
     """
-    r = routes.select("route", F.col("method").alias("_m"), path_segments(F.col("path")).alias("_r"))
-    r = r.withColumns({"n": F.size("_r"), "holes": F.size(F.filter("_r", lambda s: ~_literal(s))), "_first": F.get("_r", F.lit(0))})
-    q = requests.select("request", F.col("method").alias("_q"), path_segments(F.col("path")).alias("_p")).withColumns({"n": F.size("_p"), "_first": F.get("_p", F.lit(0))})
+    def host(df: DataFrame) -> Column:
+        return F.split(F.nullif(F.col("host"), F.lit("*")), r"\.") if "host" in df.columns else F.lit(None).cast("array<string>")
+
+    r = routes.select("route", F.col("method").alias("_m"), path_segments(F.col("path")).alias("_r"), host(routes).alias("_to"))
+    r = r.withColumns({"n": F.size("_r"), "holes": F.size(F.filter("_r", lambda s: s.contains("{") | (s == "*"))), "_first": F.get("_r", F.lit(0))})
+    q = requests.select("request", F.col("method").alias("_q"), path_segments(F.col("path")).alias("_p"), host(requests).alias("_of"))
+    q = q.withColumns({"n": F.size("_p"), "_first": F.get("_p", F.lit(0))})
     open_first = F.coalesce(~_literal(F.col("_first")), F.lit(True))
-    by_first = q.join(r.where(~open_first), ["n", "_first"])
-    any_first = q.drop("_first").join(r.where(open_first).drop("_first"), "n")
-    both = by_first.drop("_first").unionByName(any_first)
-    fits = F.forall(F.zip_with("_p", "_r", lambda a, b: ~_literal(b) | ~_literal(a) | (a == b)), lambda x: x)
-    found = both.where(fits & (F.col("_m").isNull() | F.col("_q").isNull() | (F.col("_m") == F.col("_q"))))
+    by_first = q.where(~open_first).join(r.where(~open_first), ["n", "_first"]).drop("_first")
+    any_route = q.drop("_first").join(r.where(open_first).drop("_first"), "n")
+    any_request = q.where(open_first).drop("_first").join(r.where(~open_first).drop("_first"), "n")
+    both = by_first.unionByName(any_route).unionByName(any_request)
+    hosts = F.col("_to").isNull() | F.col("_of").isNull() | ((F.size("_to") == F.size("_of")) & _all_meet(F.col("_of"), F.col("_to")))
+    found = both.where(_all_meet(F.col("_p"), F.col("_r")) & hosts & (F.col("_m").isNull() | F.col("_q").isNull() | (F.col("_m") == F.col("_q"))))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy("holes", "route"))).where(F.col("rank") <= most)
     return ranked.select("request", "route", "holes", "rank")
 

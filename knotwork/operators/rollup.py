@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,12 +130,21 @@ def glob(pattern: str) -> str:
 
 @dataclass(frozen=True)
 class StructureRule:
-    """Classes that match must have the modifier, and a name of the given form."""
+    """What classes that match must be: classes, but not those of beside, and of one kind where that is given. They have the
+    modifier and lack another, have a name of the given form, implement, extend and use what is named (they or an
+    ancestor), and have no public methods but those of public."""
 
     name: str
     classes: str
     modifier: str | None = None
     named: str | None = None
+    without: str | None = None
+    implements: tuple[str, ...] = ()
+    extends: tuple[str, ...] = ()
+    uses: tuple[str, ...] = ()
+    public: tuple[str, ...] | None = None
+    beside: str | None = None
+    kind: str | None = None
 
 
 @dataclass(frozen=True)
@@ -147,19 +157,49 @@ class DependencyRule:
     allow: tuple[str, ...] = ()
 
 
-def structure_breaches(classes: DataFrame, rules: list[StructureRule]) -> DataFrame:
-    """(rule, id, reason) from classes(id, modifiers)."""
-    found = []
+def structure_breaches(classes: DataFrame, rules: list[StructureRule], lineage: DataFrame | None = None, methods: DataFrame | None = None) -> DataFrame:
+    """(rule, id, reason) from classes(id, modifiers[, kind]), in one pass over them for all rules.
+
+    lineage(id, ancestor) is asked by rules on ancestors, whatever their case; methods(id, method, modifiers) by those on
+    public methods.
+    """
+    plain, needed, limited = [], [], []
     for rule in rules:
-        bound = classes.where(F.col("id").rlike(glob(rule.classes)))
+        bound = F.col("id").rlike(glob(rule.classes))
+        if rule.beside:
+            bound = bound & ~F.col("id").rlike(glob(rule.beside))
+        if rule.kind:
+            bound = bound & (F.col("kind") == rule.kind)
+        name = F.lit(rule.name).alias("rule")
+        broken = []
         if rule.modifier:
-            found.append(bound.where(~F.array_contains("modifiers", rule.modifier)).select(F.lit(rule.name).alias("rule"), "id", F.lit(f"not {rule.modifier}").alias("reason")))
+            broken.append((~F.array_contains("modifiers", rule.modifier), f"not {rule.modifier}"))
+        if rule.without:
+            broken.append((F.array_contains("modifiers", rule.without), f"is {rule.without}"))
         if rule.named:
-            found.append(bound.where(~F.col("id").rlike(glob(rule.named))).select(F.lit(rule.name).alias("rule"), "id", F.lit(f"not named {rule.named}").alias("reason")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            broken.append((~F.col("id").rlike(glob(rule.named)), f"not named {rule.named}"))
+        plain += [F.when(bound & case, F.struct(name, F.lit(reason).alias("reason"))) for case, reason in broken]
+        for verb, names in (("implement", rule.implements), ("extend", rule.extends), ("use", rule.uses)):
+            for other in (n.lstrip("\\") for n in names):
+                needed.append(F.when(bound, F.struct(name, F.lit(f"does not {verb} {other}").alias("reason"), F.lit(other.lower()).alias("ancestor"))))
+        if rule.public is not None:
+            allowed = F.array(*(F.lit(m.lower()) for m in rule.public)).cast("array<string>").alias("allowed")
+            limited.append(F.when(bound, F.struct(name, allowed)))
+
+    def cases(columns: list[Column]) -> DataFrame:
+        return classes.select("id", F.inline(F.array_compact(F.array(*columns))))
+
+    found = []
+    if plain:
+        found.append(cases(plain).select("rule", "id", "reason"))
+    if needed:
+        has = lineage.select("id", F.lower(F.ltrim("ancestor", F.lit("\\"))).alias("ancestor"))
+        found.append(cases(needed).join(has, ["id", "ancestor"], "left_anti").select("rule", "id", "reason"))
+    if limited:
+        public = methods.where(~F.arrays_overlap("modifiers", F.array(F.lit("private"), F.lit("protected")))).select("id", "method").distinct()
+        extra = cases(limited).join(public, "id").where(~F.array_contains("allowed", F.lower("method")))
+        found.append(extra.select("rule", "id", F.concat(F.lit("has the public method "), "method", F.lit("()")).alias("reason")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def dependency_breaches(edges: DataFrame, rules: list[DependencyRule]) -> DataFrame:

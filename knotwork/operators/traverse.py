@@ -51,6 +51,28 @@ def closure(edges: DataFrame, relations: tuple[str, ...], upward: bool = True) -
     return reach(kept, starts, backward=not upward).select("start", "id", "depth")
 
 
+def ranked_lineage(edges: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    """(start, id, path): every ancestor with the least of its paths, itself with the empty one.
+
+    A path is an array of steps (rank of the relation, where it leads); earlier relations come first, then lesser ids.
+    Where no class is its own ancestor, sorting by path gives the order in which a depth-first search first meets the
+    ancestors. Least paths may be longer than others, so a level holds all that it improved, until it improves none.
+    """
+    rank = F.array_position(F.array(*(F.lit(r) for r in relations)), F.col("relation")).cast("int")
+    steps = edges.where(F.col("relation").isin(*relations)).select(F.col("source").alias("_at"), F.struct(rank.alias("rank"), F.col("target").alias("to")).alias("_step"))
+    steps = materialize(steps.distinct().repartition("_at"), "steps")
+    starts = steps.select(F.col("_at").alias("start")).union(steps.select("_step.to")).distinct()
+    empty = F.array().cast("array<struct<rank:int,to:string>>")
+    best = level = materialize(starts.select("start", F.col("start").alias("id"), empty.alias("path")), "lineage")
+    while level.limit(1).count():
+        ahead = level.join(steps, level["id"] == steps["_at"]).select("start", F.col("_step.to").alias("id"), F.concat("path", F.array("_step")).alias("path"))
+        ahead = ahead.groupBy("start", "id").agg(F.min("path").alias("path"))
+        known = best.select("start", "id", F.col("path").alias("_old"))
+        level = materialize(ahead.join(known, ["start", "id"], "left").where("_old is null or path < _old").select("start", "id", "path"), "lineage")
+        best = materialize(best.unionByName(level).groupBy("start", "id").agg(F.min("path").alias("path")), "lineage")
+    return best
+
+
 def family_heads(edges: DataFrame, relations: tuple[str, ...], members: DataFrame, least: int = 2) -> DataFrame:
     """(id, head, depth): for each row (id) of members its nearest proper ancestor that has at least so many members below it."""
     above = closure(edges, relations).where("depth > 0").select(F.col("start").alias("id"), F.col("id").alias("head"), "depth")

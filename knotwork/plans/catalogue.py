@@ -460,16 +460,12 @@ def service_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.join(resolve.service_of(paths.select("path").distinct(), services), "path", "left").select("page_id", "service")
 
 
-@_query("select 'part:' || p_partkey as id, 'part:' || (select min(p_partkey) from part q where q.p_brand = part.p_brand) as class from part where p_partkey <> (select min(p_partkey) from part q where q.p_brand = part.p_brand)")
+@_query("""with recursive r as (select p_partkey as k, p_partkey // 16 as c from part where p_partkey >= 16 union all select k, c // 16 from r where c >= 16)
+select 'part:' || k as id, 'part:' || c as class from r where c < 16""")
 def alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a brand as aliases, each of the one 16 places before it; a chain ends at the brand's first part."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("p_brand").orderBy("p_partkey")
-    placed = table(spark, sf_dir, "part").withColumn("n", F.row_number().over(order) - 1)
-    lead = placed.select(F.col("p_brand").alias("b"), F.col("n").alias("m"), F.col("p_partkey").alias("q"))
-    half = placed.where("n > 0").join(lead, (F.col("b") == F.col("p_brand")) & (F.col("m") == F.floor(F.col("n") / 16)))
-    return resolve.follow_aliases(half.select(tables.node_id("part", "p_partkey").alias("id"), tables.node_id("part", "q").alias("target")))
+    """Parts as aliases, each of the one of a sixteenth of its number; chains end at the parts below 16."""
+    parts = table(spark, sf_dir, "part").where("p_partkey >= 16").withColumn("up", F.expr("p_partkey div 16"))
+    return resolve.follow_aliases(parts.select(tables.node_id("part", "p_partkey").alias("id"), tables.node_id("part", "up").alias("target")))
 
 
 @_query(f"""with {_PLACES.strip()}, {_TRADE} select 'part:' || p_partkey as id, coalesce(bool_or(t), false) as tested, coalesce(bool_or(not t), false) as used from part left join (select target, cast(split_part(source, ':', 2) as bigint) % 10 = 0 as t from edges where relation = 'calls') on target = 'part:' || p_partkey group by p_partkey""")

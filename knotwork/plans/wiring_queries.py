@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.operators import rollup, wiring
-from knotwork.plans.catalogue import _CLASSES, _PLACES, query
+from knotwork.operators import resolve, rollup, traverse, wiring
+from knotwork.plans.catalogue import _CLASSES, _PLACES, _customer_classes, query
 from knotwork.session import table
 from knotwork.sources import tables
 
@@ -202,3 +202,71 @@ def layer_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the classes put the layer before the context."""
     edges = tables.class_edges(spark, sf_dir)
     return wiring.is_layer_first(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct())
+
+
+_LOOKUP = """segments as (select distinct c_mktsegment as segment, len(c_mktsegment) as size, len(c_mktsegment) % 5 as r from customer),
+lookups as (select 'customer:' || c_custkey as class, 'nation:' || c_nationkey as nation, 'region:' || n_regionkey as region, 'segment:' || c_mktsegment as segment, 'region:' || s.r as other, c_nationkey % 5 = 0 as mixed from customer join nation on c_nationkey = n_nationkey join segments s on s.segment = c_mktsegment),
+declared as (select 'nation:' || n_nationkey as class, 'm' || n_nationkey % 4 as name, true as project from nation union all select 'region:' || r_regionkey, 'm' || (r_regionkey % 3 + 2), r_regionkey % 2 = 0 from region
+  union all select 'segment:' || segment, 'm' || (size % 3 + 3), true from segments union all select 'helper', unnest(['m5', 'm9']), true)"""
+
+
+def _lookup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """methods, edges and mixins: customers extend nations, which extend regions, and implement segments, which extend regions."""
+    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    size = F.length("c_mktsegment")
+    segments = customer.select(F.concat(F.lit("segment:"), "c_mktsegment").alias("class"), size.alias("size")).distinct()
+    methods = nation.select(tables.node_id("nation", "n_nationkey").alias("class"), _numbered("m", F.col("n_nationkey") % 4).alias("name"), F.lit(True).alias("project"))
+    methods = methods.union(region.select(tables.node_id("region", "r_regionkey"), _numbered("m", F.col("r_regionkey") % 3 + 2), F.col("r_regionkey") % 2 == 0))
+    methods = methods.union(segments.select("class", _numbered("m", F.col("size") % 3 + 3), F.lit(True)))
+    methods = methods.union(region.where("r_regionkey = 0").select(F.lit("helper"), F.explode(F.array(F.lit("m5"), F.lit("m9"))), F.lit(True)))
+    extends, implements = F.lit("extends").alias("relation"), F.lit("implements").alias("relation")
+    edges = customer.select(tables.node_id("customer", "c_custkey").alias("source"), extends, tables.node_id("nation", "c_nationkey").alias("target"))
+    edges = edges.union(nation.select(tables.node_id("nation", "n_nationkey"), extends, tables.node_id("region", "n_regionkey")))
+    edges = edges.union(customer.select(tables.node_id("customer", "c_custkey"), implements, F.concat(F.lit("segment:"), "c_mktsegment")))
+    edges = edges.union(segments.select("class", extends, _numbered("region:", F.col("size") % 5)))
+    mixins = nation.where("n_nationkey % 5 = 0").select(tables.node_id("nation", "n_nationkey").alias("class"), F.lit("helper").alias("mixin"))
+    return methods.withColumn("method", F.concat_ws("::", "class", "name")), edges, mixins
+
+
+@query(f"""with {_LOOKUP}, ways as (select class, nation as up, 1 as turn, mixed from lookups union all select class, region, 2, mixed from lookups union all select class, segment, 3, mixed from lookups union all select class, other, 4, mixed from lookups union all select class, 'helper', 9, mixed from lookups where mixed)
+select w.class, d.name, arg_min(d.class || '::' || d.name, case when turn = 9 then 100 when project then turn else 10 + turn end) as method from ways w join declared d on d.class = w.up group by all""")
+def method_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declaration of each method that customers have: depth first, what the project declares first, mixins last."""
+    methods, edges, mixins = _lookup(spark, sf_dir)
+    return resolve.find_methods(methods, edges, mixins).where("class like 'customer:%'").select("class", "name", "method")
+
+
+@query(f"""with {_LOOKUP}, ways as (select class, nation as up, '1' || nation as way from lookups union all select class, region, '1' || nation || ' 1' || region from lookups union all select class, segment, '2' || segment from lookups union all select class, other, '2' || segment || ' 1' || other from lookups)
+select class, up as ancestor, min(way) as way from ways group by all""")
+def ranked_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ancestors of customers, with the way by which a depth-first search first meets each."""
+    _, edges, _ = _lookup(spark, sf_dir)
+    found = traverse.ranked_lineage(edges, ("extends", "implements", "uses_trait")).where("start like 'customer:%' and size(path) > 0")
+    way = F.array_join(F.transform("path", lambda s: F.concat(s["rank"].cast("string"), s["to"])), " ")
+    return found.select(F.col("start").alias("class"), F.col("id").alias("ancestor"), way.alias("way"))
+
+
+@query(r"""with c as (select c_custkey as k, c_mktsegment as m, r_name || '\' || n_name || '\' || ['Domain', 'UseCases', 'Model', 'Billing'][c_custkey % 4 + 1] || '\Customer' || c_custkey as id, ['Domain', 'UseCases', 'Model', 'Billing'][c_custkey % 4 + 1] as s from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+select 'contract' as rule, id, 'does not implement Contracts\Payable' as reason from c where s = 'Billing' and k % 3 = 0
+union all select distinct 'contract', id, 'has the public method m' || o_orderkey % 4 || '()' from c join orders on o_custkey = k where s = 'Billing' and o_orderkey % 2 = 0 and o_orderkey % 4 <> 0
+union all select 'clock', id, 'does not use Shared\Clock' from c where s = 'Model' and k % 5 <> 0 and k % 10 <> 2
+union all select 'clock', id, 'is final' from c where s = 'Model' and m = 'BUILDING' and k % 10 <> 2
+union all select 'base', id, 'does not extend Contracts\Payable' from c where s = 'UseCases' and m = 'MACHINERY' and k % 3 = 0""")
+def structure_rule_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on interfaces, parents, traits and public methods over customers as classes."""
+    classes = _customer_classes(spark, sf_dir)
+    k = F.col("c_custkey")
+    classes = classes.withColumns({"modifiers": F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("final"))).otherwise(F.array().cast("array<string>")), "kind": F.col("c_mktsegment")})
+    edges = classes.where(k % 3 != 0).select(F.col("id").alias("source"), F.lit("implements").alias("relation"), F.lit("Contracts\\Invoice").alias("target"))
+    edges = edges.union(classes.where(k % 5 == 0).select("id", F.lit("uses_trait"), F.lit("Shared\\Clock")))
+    edges = edges.union(edges.where("relation = 'implements'").select("target", F.lit("extends"), F.lit("contracts\\payable")).distinct())
+    lineage = traverse.closure(edges, ("extends", "implements", "uses_trait")).where("depth > 0").select(F.col("start").alias("id"), F.col("id").alias("ancestor"))
+    owned = table(spark, sf_dir, "orders").join(classes.select("id", "c_custkey"), F.col("o_custkey") == k)
+    modifiers = F.when(F.col("o_orderkey") % 2 == 1, F.array(F.lit("private"))).otherwise(F.array().cast("array<string>"))
+    methods = owned.select("id", _numbered("m", F.col("o_orderkey") % 4).alias("method"), modifiers.alias("modifiers"))
+    rules = [
+        rollup.StructureRule("contract", "**\\Billing\\*", implements=("\\Contracts\\Payable",), public=("M0",)),
+        rollup.StructureRule("clock", "**\\Model\\*", uses=("Shared\\Clock",), without="final", beside="**2"),
+        rollup.StructureRule("base", "**\\UseCases\\*", extends=("Contracts\\Payable",), kind="MACHINERY"),
+    ]
+    return rollup.structure_breaches(classes, rules, lineage, methods)

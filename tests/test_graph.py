@@ -145,6 +145,35 @@ def test_calls_and_overrides(spark):
     assert [tuple(r) for r in resolve.overrides(methods, lines).collect()] == [("Mum::go", "Gran::go")]
 
 
+def test_method_lookup_order(spark):
+    lines = edges(spark, [("Kid", "extends", "Mum"), ("Mum", "extends", "Gran"), ("Kid", "implements", "Can"), ("Kid", "uses_trait", "Also"), ("Also", "extends", "Gran"), ("Other", "extends", "Lib")])
+    rows = [("Gran", "go", True), ("Can", "go", True), ("Also", "go", True), ("Can", "be", True), ("Also", "be", True), ("Lib", "do", False), ("Mix", "do", True), ("Mix", "it", True), ("Far", "it", True), ("Far", "too", True)]
+    methods = spark.createDataFrame([(c, n, f"{c}::{n}", p) for c, n, p in rows], "class string, name string, method string, project boolean")
+    mixins = spark.createDataFrame([("Gran", "Mix"), ("Other", "Mix"), ("Mix", "Far"), ("Far", "Kid"), ("Lone", "Far")], "class string, mixin string")
+    got = {tuple(r)[:2]: r.method for r in resolve.find_methods(methods, lines, mixins).collect()}
+    # the parent's parent comes before an interface that is nearer, an interface before a trait
+    assert got["Kid", "go"] == "Gran::go" and got["Kid", "be"] == "Can::be"
+    assert got["Other", "do"] == "Lib::do" and got["Kid", "do"] == "Mix::do"
+    # mixins of ancestors and of mixins, rings included
+    assert got["Kid", "it"] == "Mix::it" and got["Kid", "too"] == "Far::too" and got["Lone", "it"] == "Far::it" and got["Far", "go"] == "Gran::go" and got["Lone", "do"] == "Mix::do"
+
+
+def test_lineage_takes_the_first_way(spark):
+    lines = edges(spark, [("a", "extends", "b"), ("b", "extends", "c"), ("a", "implements", "c"), ("c", "extends", "d"), ("a", "implements", "d"), ("x", "extends", "y"), ("y", "extends", "x")])
+    rows = traverse.ranked_lineage(lines, ("extends", "implements")).collect()
+    assert {r.id: [(s.rank, s.to) for s in r.path] for r in rows if r.start == "a"} == {"a": [], "b": [(1, "b")], "c": [(1, "b"), (1, "c")], "d": [(1, "b"), (1, "c"), (1, "d")]}
+    assert {(r.start, r.id) for r in rows if r.start in "xy"} == {("x", "x"), ("x", "y"), ("y", "y"), ("y", "x")}
+
+
+def test_hosts_and_parts_of_segments(spark):
+    routes = spark.createDataFrame([("any", None, "/a/{id}.json", None), ("mine", None, "/a/{id}.json", "{x}.example.com"), ("lit", None, "/a/order-7", "*")], "route string, method string, path string, host string")
+    asked = spark.createDataFrame([("r1", None, "/a/5.json", "eu.example.com"), ("r2", None, "/a/5.json", "example.org"), ("r3", None, "/a/order-*", None), ("r4", None, "/*/order-7", "q"), ("r5", None, "/a/.json", None)], "request string, method string, path string, host string")
+    got = {}
+    for r in resolve.match_routes(asked, routes).orderBy("request", "rank").collect():
+        got.setdefault(r.request, []).append(r.route)
+    assert got == {"r1": ["any", "mine"], "r2": ["any"], "r3": ["lit"], "r4": ["lit"]}
+
+
 def test_routes(spark):
     routes = spark.createDataFrame([("any", None, "/{a}/{b}"), ("shop", "GET", "/shop/{id}"), ("item", "GET", "/shop/7"), ("post", "POST", "/shop/{id}"), ("long", None, "/shop/7/x")], "route string, method string, path string")
     asked = spark.createDataFrame([("r1", "GET", "/shop/7"), ("r2", None, "/other/7"), ("r3", "GET", "/nothing")], "request string, method string, path string")
