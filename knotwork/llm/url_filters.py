@@ -44,12 +44,13 @@ class UrlVocabulary:
     soft_weight: float = 2.0
 
 
-#: The terms of the default vocabulary, with the weights of the soft ones.
+#: The terms of the default vocabulary, with the weights of the soft ones. Words that clean urls have too weigh
+#: less than half of the limit, so that two of them alone reject nothing; their weights are exact in binary.
 DEFAULT_VOCABULARY = UrlVocabulary(
     strict=("camgirls", "escorts", "hardcore", "keygen", "malware", "phishing", "porn", "pornhub", "sexcams", "warez", "xxx"),
     soft=(
-        ("adult", 1.0), ("bet", 1.0), ("bonus", 1.0), ("casino", 1.5), ("cheap", 1.0), ("crack", 1.0), ("dating", 1.0), ("jackpot", 1.5), ("loan", 1.0),
-        ("lottery", 1.0), ("nude", 1.5), ("payday", 1.0), ("pills", 1.0), ("poker", 1.0), ("replica", 1.0), ("sex", 1.5), ("slots", 1.0), ("torrent", 1.0), ("viagra", 1.5),
+        ("adult", 0.75), ("bet", 0.75), ("bonus", 0.75), ("casino", 1.5), ("cheap", 0.75), ("crack", 1.25), ("dating", 1.25), ("jackpot", 1.5), ("loan", 0.75),
+        ("lottery", 1.25), ("nude", 1.5), ("payday", 1.25), ("pills", 0.75), ("poker", 1.25), ("replica", 0.75), ("sex", 1.5), ("slots", 0.75), ("torrent", 1.25), ("viagra", 1.5),
     ),
 )
 

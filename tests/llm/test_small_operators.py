@@ -52,6 +52,13 @@ def test_urls(spark):
     assert url_filters.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_weights_decide(spark):
+    """As many distinct soft terms, or even fewer, with another weight have another verdict."""
+    verdicts = {"http://a.org/cheap/loan": "allow", "http://a.org/cheap/poker": "block", "http://a.org/cheap/loan/bonus": "block", "http://a.org/casino/casino": "allow", "http://a.org/casino/sex": "block", "http://a.org/cheaploan/poker": "allow"}
+    df = spark.createDataFrame([(u,) for u in verdicts], "url string")
+    assert {r.url: r.verdict for r in url_filters.filter_urls(df).collect()} == verdicts
+
+
 def test_codec_round_trip(spark, odd):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
