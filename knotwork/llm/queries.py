@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import bpe_codec, exact_search, jaccard_join, lm_scoring, packing, quality_rules, repeat_removal, secret_scans, sorted_tables, url_filters
+from knotwork.llm import bpe_codec, exact_search, jaccard_join, lexical_scan, lm_scoring, packing, quality_rules, repeat_removal, secret_scans, sorted_tables, url_filters
 from knotwork.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of all documents for every benchmark item."""
+    return lexical_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL["op2_jaccard_join"] = rf"""
@@ -120,3 +126,15 @@ select page_id, host, path, rule, coalesce(ruled, case when {has("|".join(words.
 
 
 ORACLE_SQL["op5_url_filters"] = _url_sql()
+
+_TERMS = rf"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op12_lexical_search"] = f"""
+with d as (select doc_id, {_TERMS} as ts from documents),
+c as (select count(*)::bigint as n_docs, sum(len(ts))::bigint as n_terms from d where len(ts) > 0),
+tf as (select doc_id, len(ts)::bigint as n, t, count(*)::bigint as tf from (select doc_id, ts, unnest(ts) as t from d) group by doc_id, ts, t),
+df as (select t, count(*)::bigint as df from tf group by t),
+q as (select item_id, t, count(*)::bigint as times from (select item_id, unnest({_TERMS}) as t from benchmark) group by 1, 2),
+w as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w from df, c),
+scores as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+  from q join tf using (t) join w using (t), c group by 1, 2)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0) where rank <= 20"""
