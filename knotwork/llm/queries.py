@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import bpe_codec, exact_search, jaccard_join, lexical_scan, lm_scoring, packing, quality_rules, repeat_removal, secret_scans, sorted_tables, url_filters
+from knotwork.llm import bpe_codec, conversation_repair, exact_search, jaccard_join, lexical_scan, lm_scoring, packing, quality_rules, repeat_removal, secret_scans, sorted_tables, url_filters, weighted_sampling
 from knotwork.session import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,18 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired by the cheapest edits."""
+    return conversation_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op13_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    return weighted_sampling.next_edits(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best of all documents for every benchmark item."""
