@@ -2,7 +2,12 @@
 
 Texts are encoded by the ranks with the given pre-splitting pattern and no special tokens. A long text is cut first, at
 boundaries where the pattern must end a match whatever surrounds them, so that memory and time of one call stay bounded
-while the ids are those of the whole text. Decoding gives raw bytes: ids of a part need not be valid UTF-8.
+while the ids are those of the whole text. A long run of white space is cut out too: such patterns match it but for its last
+character as one piece (to the end of the text as a whole), and their engine can't step through it without limit. Decoding
+gives raw bytes: ids of a part need not be valid UTF-8.
+
+The cuts rest on what patterns of this family have in common: a match holds white space at its beginning or nothing else,
+and `\\s+(?!\\S)` takes runs of it.
 
 Defined results: null counts as an empty text, which has no ids and decodes to no bytes. Rows are independent, so
 repeated rows, ties and empty tables need no care; other columns are passed through.
@@ -26,6 +31,10 @@ from knotwork.llm.common import map_batches, slices, texts_of
 
 #: One space between two characters that are not white space: every match that covers the first ends there.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Fixed value: what the pattern's engine takes as white space. A run of so many characters is encoded by itself.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = 1 << 16
+_RUN = re.compile(f"[{_BLANK}]{{{_LONG_RUN},}}")
 
 
 @lru_cache(maxsize=4)
@@ -47,11 +56,18 @@ def safe_parts(text: str, length: int) -> Iterator[str]:
     yield text[begin:]
 
 
-def encode(text: str, codec: tiktoken.Encoding, part: int = 1 << 16) -> list[int]:
+def encode(text: str, codec: tiktoken.Encoding, part: int = _LONG_RUN - 1) -> list[int]:
     if len(text) <= part:
         return codec.encode_ordinary(text)
     ids: list[int] = []
-    for piece in safe_parts(text, part):
+    begin = 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        for piece in safe_parts(text[begin : run.start()], part):
+            ids += codec.encode_ordinary(piece)
+        ids += codec._encode_single_piece(text[run.start() : end])
+        begin = end
+    for piece in safe_parts(text[begin:], part):
         ids += codec.encode_ordinary(piece)
     return ids
 

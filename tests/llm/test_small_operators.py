@@ -189,3 +189,22 @@ def test_whole_private_keys(spark):
     texts += [f"a -----BEGIN PRIVATE KEY-----\n{body}", f"-----BEGIN PRIVATE KEY-----\n{body}\n b, -----BEGIN CERTIFICATE-----"]
     got = [r.text for r in secret_scans.redact(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
     assert got == ["a [secret] b"] * 8 + ["a [secret]", "[secret]\n b, -----BEGIN CERTIFICATE-----"]
+
+
+def test_long_runs_of_white_space(spark, monkeypatch):
+    """Runs are encoded as the whole text is, and those that the engine can't step through don't end the job."""
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    codec = bpe_codec.encoding(*args)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", ".", "7", " ", " ", "\n", "\x1c", "\x85", "\u3000", "\t" * 9, " " * 12, "\r\n"]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    monkeypatch.setattr(bpe_codec, "_RUN", re.compile(f"[{bpe_codec._BLANK}]{{5,}}"))
+    for text in texts:
+        assert bpe_codec.encode(text, codec, 3) == codec.encode_ordinary(text), repr(text)
+    monkeypatch.undo()
+    rows = [(0, "a" + " " * 300_000 + "b"), (1, "a" + "\n" * 1_200_000), (2, " " * 1_200_000 + "b c"), (3, None), (4, "a b")]
+    got = {r.doc_id: r for r in bpe_codec.round_trip_digests(spark.createDataFrame(rows, "doc_id long, text string"), *args).collect()}
+    for i, text in rows:
+        assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+        if i in (0, 3, 4):
+            ids = codec.encode_ordinary(text or "")
+            assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
