@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from knotwork.llm import exact_search, jaccard_join, lm_scoring, quality_rules, repeat_removal
 from knotwork.llm.attention_model import Shape, gradient, windows
@@ -87,22 +88,38 @@ def test_jaccard_keeps_rows_not_ids(spark):
     assert kept == sorted([(1, far[0]), (1, far[1]), (2, far[2]), (None, far[3]), (5, None), (5, "")], key=str)
 
 
-@pytest.mark.parametrize("apart", [8, 14])
-def test_jaccard_of_many_near_copies(spark, apart):
-    """A group of copies with so many changes that some are linked only with some others."""
+@pytest.mark.parametrize(("apart", "copies", "width", "percent", "turns"), [(8, 150, 5, 80, 1), (14, 150, 5, 80, 1), (30, 220, 2, 85, 0), (24, 200, 2, 85, 0), (10, 200, 4, 85, 0)])
+def test_jaccard_of_many_near_copies(spark, apart, copies, width, percent, turns):
+    """A group of copies with so many changes that some are linked only with some others. Without turns the last comparison does all."""
     rng = random.Random(apart)
     base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
     texts = []
-    for _ in range(150):
+    for _ in range(copies):
         near = list(base)
         for _ in range(rng.randint(0, apart)):
             near[rng.randrange(len(near))] = "".join(rng.choice("klmnop") for _ in range(6))
         texts.append(" ".join(near))
-    want = _classes(texts, 5, 80)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 5, 80).collect()}
+    want = _classes(texts, width, percent)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(df, width, percent, turns=turns).collect()}
     assert [got[i] for i in range(len(texts))] == want and len({c for _, c in want}) > 1
 
 
+def test_jaccard_pair_in_a_bucket_that_neither_probes():
+    """Equal sketches in buckets 1, which a far third set alone probes, and 2, which the first probes: flagged in 2."""
+    words = np.zeros((3, jaccard_join.SKETCH_BITS // 64), np.int64)
+    words[2] = -1
+
+    def tile(sig, probe, members):
+        rows = {"sig": [sig] * len(members), "set": members, "label": members, "n": [50] * len(members), "probe": probe, "tile": [0] * len(members), "i": [0] * len(members), "j": [0] * len(members)}
+        lists = {"sketch": [words[m] for m in members], "sigs": [[[1, 2], [1, 2], [1]][m] for m in members], "asks": [[[2], [], [1]][m] for m in members]}
+        return {c: np.array(x) for c, x in rows.items()} | {c: pa.array(x, pa.list_(pa.int64())) for c, x in lists.items()}
+
+    solve = jaccard_join._with_partners(85)
+    assert solve(tile(1, [False, False, True], [0, 1, 2]))["set"].tolist() == []
+    assert solve(tile(2, [True, False], [0, 1]))["set"].tolist() == [0, 1]
+
+
 def test_jaccard_of_nothing(documents):
     assert jaccard_join.classes(documents.limit(0)).count() == 0
 
