@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -49,15 +50,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _numbers(words: np.ndarray, samples: int, nth: int) -> np.ndarray:
-    """A 32-bit number for each word and draw: a sum of products, whose bits are then spread."""
+    """A 32-bit number for each word and draw: a sum of products, whose bits are then spread. Words are hashes, so once is enough."""
     keys = _mixed(np.arange(1, samples + 1, dtype=np.uint64) * _MIX[0] + np.uint64(nth))
     low, high = (words & np.uint64(0xFFFFFFFF)).astype(np.uint32), (words >> np.uint64(32)).astype(np.uint32)
     x = low[:, None] * (keys.astype(np.uint32) | np.uint32(1))
     x += high[:, None] * ((keys >> np.uint64(32)).astype(np.uint32) | np.uint32(1))
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        x ^= x >> np.uint32(shift)
-        x *= np.uint32(factor)
     x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
     return x
 
 
@@ -92,20 +92,23 @@ class Sampler:
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
         """Where the numbers of at most _ROWS distinct words lie in the tables; new words are added."""
-        place = self.place
-        new = [w for w in words if w not in place]
-        if len(self.place) + len(new) > _KEPT:
+        rows = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        begin = len(self.place)
+        if begin + len(missing) > _KEPT:
             self.place.clear()
-            new = words
+            return self._rows(words)
+        rows[missing] = np.arange(begin, begin + len(missing))
+        new = [words[i] for i in missing.tolist()]
+        self.place.update(zip(new, range(begin, begin + len(new)), strict=True))
         for k in range(0, len(new), _MADE):
             some = new[k : k + _MADE]
-            at = slice(len(self.place), len(self.place) + len(some))
-            self.place.update(zip(some, range(at.start, at.stop), strict=True))
+            at = slice(begin + k, begin + k + len(some))
             self.hashes[at] = list(map(xxhash.xxh3_64_intdigest, some))
             self.lengths[at] = [len(w.decode()) for w in some]
             self.r[at], self.c[at], self.b[at] = r, c, b = draws(self.hashes[at], self.samples)
             self.single[at] = _values(self.lengths[at], r, c, b)
-        return np.array(list(map(place.__getitem__, words)), np.int64)
+        return rows
 
     def fingerprint(self, text: str) -> np.ndarray:
         """The draws of a text as 16-bit numbers, none where it has no words."""
