@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.operators.graph import confidence_rank
 from knotwork.session import table
 
 #: The kind of node that each table's rows become.
@@ -110,3 +111,65 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, path): the urls' paths."""
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+
+
+def code_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as of a code base: customers are classes and orders their methods, parts methods of twenty interfaces, pages
+    routes, users messages. The lines of an order are its facts, by their number: 1 calls another order, 2 a part's method; 3
+    overrides one; 4 reads the state that another order writes; 5 instantiates a customer. Events of even id send their user."""
+    o, line = F.col("o_orderkey"), F.col("l_linenumber")
+    classed = table(spark, sf_dir, "orders").select(o, F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("class"))
+    methods = classed.select(o, "class", F.concat("class", F.when(o % 19 == 0, "::__construct").otherwise(F.concat(F.lit("::m"), o.cast("string")))).alias("method"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("I"), (F.col("p_partkey") % 20).cast("string")).alias("class"), "p_partkey")
+    parts = parts.select("class", F.concat("class", F.lit("::p"), F.col("p_partkey").cast("string")).alias("method"))
+    customers, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
+    none = F.lit(None).cast("string")
+
+    def nodes(df: DataFrame, ident: Column | str, kind: str, file: Column = none) -> DataFrame:
+        return df.select(F.col(ident).alias("id") if isinstance(ident, str) else ident.alias("id"), F.lit(kind).alias("kind"), file.alias("file")).distinct()
+
+    def name(prefix: str, number: Column) -> Column:
+        return F.concat(F.lit(prefix), number.cast("string"))
+
+    place = F.concat(F.when(k % 10 == 9, "tests/C").otherwise("src/C"), k.cast("string"), F.lit(".php"))
+    every = nodes(customers, name("C", k), "class", place)
+    for df in (nodes(methods, "method", "method"), nodes(parts, "class", "interface"), nodes(parts, "method", "method"), nodes(pages, name("route:", F.col("page_id")), "route"), nodes(events, name("message:", F.col("user_id")), "class")):
+        every = every.unionByName(df)
+
+    sure = F.when(F.col("l_returnflag") == "N", "EXTRACTED").when(F.col("l_returnflag") == "A", "INFERRED").otherwise("AMBIGUOUS")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", line, sure.alias("confidence"), F.when(F.col("l_quantity") > 40, F.array(line, line + 1)).otherwise(F.array(line)).alias("lines"))
+    lines = lines.join(methods.select(o.alias("l_orderkey"), F.col("method").alias("source")), "l_orderkey")
+
+    def facts(df: DataFrame, source: Column, relation: str, target: Column) -> DataFrame:
+        confidence = F.col("confidence") if "confidence" in df.columns else F.lit("EXTRACTED")
+        where = F.col("lines") if "lines" in df.columns else F.array().cast("array<int>")
+        return df.select(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target"), confidence.alias("confidence"), where.alias("lines"), none.alias("via"))
+
+    def to_method(df: DataFrame, number: Column) -> DataFrame:
+        return df.withColumn("_number", number).join(methods.select(o.alias("_number"), F.col("method").alias("target")), "_number")
+
+    source, target, part = F.col("source"), F.col("target"), F.col("l_partkey")
+    of_part = F.concat(name("I", part % 20), name("::p", part))
+    user, event, page = F.col("user_id"), F.col("event_id"), F.col("page_id")
+    found = [
+        facts(methods, F.col("class"), "has_method", F.col("method")),
+        facts(parts, F.col("class"), "has_method", F.col("method")),
+        facts(customers.where((k % 4 == 1) & (k > 1)), name("C", k), "extends", name("C", F.expr("c_custkey div 3"))),
+        facts(customers.where(k % 3 == 0), name("C", k), "implements", name("I", k % 20)),
+        facts(to_method(lines.where(line == 1), part * 7 + F.col("l_suppkey")), source, "calls", target),
+        facts(lines.where((line == 2) & (part % 3 == 0)), source, "calls", of_part),
+        facts(lines.where((line == 3) & (F.col("l_orderkey") % 7 == 3)), source, "overrides", of_part),
+        facts(to_method(lines.where((line == 4) & (F.col("l_orderkey") % 5 == 0)), part * 3), source, "reads_state_of", target),
+        facts(lines.where((line == 5) & (F.col("l_orderkey") % 3 == 0)), source, "instantiates", name("C", F.col("l_suppkey"))),
+        facts(to_method(pages, page * 3), name("route:", page), "handled_by", target),
+        facts(pages, name("route:", page), "references", name("C", page % 97)),
+        facts(to_method(events.where(event % 2 == 0), event).withColumnRenamed("target", "source"), source, "dispatches", name("message:", user)),
+        facts(to_method(events.select("user_id").distinct(), user * 2), name("message:", user), "handled_by", target),
+    ]
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    first = F.min(F.struct(confidence_rank(F.col("confidence")).alias("rank"), "lines", "confidence")).alias("first")
+    edges = edges.where("source <> target").groupBy("source", "relation", "target").agg(first)
+    return every, edges.select("source", "relation", "target", "first.confidence", "first.lines", none.alias("via"))
