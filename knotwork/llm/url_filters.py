@@ -126,9 +126,12 @@ def filter_urls(df: DataFrame, rules: tuple[UrlRule, ...] = CONTRACT_RULES, voca
         for urls in batches:
             yield pd.DataFrame([judge_words(u, vocabulary) for u in urls], columns=["n_strict", "n_soft", "soft_weight"])
 
-    kept = [c for c in df.columns if c.lower() not in {"host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight"} or c == url]
-    out = df.select(*(F.col(f"`{c}`") for c in kept), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), count(F.col(f"`{url}`")).alias("_words"))
+    added = ("host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight")
+    kept = [c for c in df.columns if c.lower() not in added or c == url]
+    # the caller's columns travel as one struct, so that their names meet none of ours
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row")
+    out = df.select(own, host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), count(F.col(f"`{url}`")).alias("_words"))
     out = out.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     rejects = (F.col("_words.n_strict") > 0) | ((F.col("_words.n_soft") >= vocabulary.soft_hits) & (F.col("_words.soft_weight") >= vocabulary.soft_weight))
     by_words = F.when(rejects, "block").otherwise("allow")
-    return out.select(*(F.col(f"`{c}`") for c in kept), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), by_words).alias("verdict"), "_words.n_strict", "_words.n_soft", "_words.soft_weight")
+    return out.select(*(F.col(f"_row.`{c}`") for c in kept), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), by_words).alias("verdict"), "_words.n_strict", "_words.n_soft", "_words.soft_weight")

@@ -13,6 +13,7 @@ import tiktoken
 from knotwork.llm import bpe_codec, packing, secret_scans, sorted_tables, url_filters
 from knotwork.llm.word_cache import cached_tokenizer
 from knotwork.session import fresh_path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 ODD_TEXTS = [
@@ -57,6 +58,8 @@ def test_url_weights_decide(spark):
     verdicts = {"http://a.org/cheap/loan": "allow", "http://a.org/cheap/poker": "block", "http://a.org/cheap/loan/bonus": "block", "http://a.org/casino/casino": "allow", "http://a.org/casino/sex": "block", "http://a.org/cheaploan/poker": "allow"}
     df = spark.createDataFrame([(u,) for u in verdicts], "url string")
     assert {r.url: r.verdict for r in url_filters.filter_urls(df).collect()} == verdicts
+    clash = df.withColumns({c: F.lit(c) for c in ("_words", "_row", "_rule", "verdict")})
+    assert {(r.url, r.verdict, r._words, r._row, r._rule) for r in url_filters.filter_urls(clash).collect()} == {(u, v, "_words", "_row", "_rule") for u, v in verdicts.items()}
 
 
 def test_codec_round_trip(spark, odd):
