@@ -274,13 +274,15 @@ def removal_digests(df: DataFrame, least: int = 200, key: str = "doc_id", text:
 
 
 def remove_repeats(df: DataFrame, least: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the repeated bytes of every text removed; a character that is cut by a removed run goes with it. Null stays null."""
+    """df with the repeated bytes of every text removed; a character that is cut by a removed run goes with it. Null stays null.
+    Other columns pass through, whatever their names."""
     runs = repeated_runs(df, least, key=key, text=text)
-    joined = _keyed(df, key, text).join(runs.withColumnRenamed("rid", "_rid"), "_rid", "left")
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text)).alias("row"))
+    joined = _keyed(rows, "key", "text").join(runs.withColumnRenamed("rid", "_rid"), "_rid", "left")
 
     rest = F.pandas_udf(lambda texts, found: pd.Series([_rest(t, r, least) for t, r in zip(texts, found, strict=True)], dtype=object), "string")
-    cut = F.when(F.col("runs").isNull(), F.col(f"`{text}`")).otherwise(rest(F.col(f"`{text}`"), F.col("runs")))
-    return joined.withColumn(text, cut).select(*(F.col(f"`{c}`") for c in df.columns))
+    cut = F.when(F.col("runs").isNull(), F.col("text")).otherwise(rest(F.col("text"), F.col("runs")))
+    return joined.select(*(cut.alias(text) if c == text else F.col(f"row.`{c}`") for c in df.columns))
 
 
 def _rest(value: str | None, runs: list[int] | None, least: int) -> str | None:

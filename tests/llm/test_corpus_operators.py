@@ -233,6 +233,16 @@ def test_repeats(documents, corpus, most):
     assert repeat_removal.removal_digests(documents.limit(0)).count() == 0
 
 
+def test_removal_keeps_columns_of_any_name(spark):
+    same = "".join(chr(97 + i * i % 26) for i in range(300))
+    rows = [(1, same + " one", "a", "b", "c", "d"), (2, "two " + same, "a", "b", "c", "d"), (3, None, "a", "b", "c", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, runs string, _rid string, row string, key string")
+    got = repeat_removal.remove_repeats(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, " one", *"abcd"), (2, "two ", *"abcd"), (3, None, *"abcd")]
+    assert repeat_removal.remove_repeats(df.limit(0)).count() == 0
+
+
 def test_removed_text_stays_text(documents, corpus):
     rows = {r.doc_id: r.text for r in repeat_removal.remove_repeats(documents).collect()}
     assert rows[0] is None and rows[1] == "" and len(rows) == len(corpus)
