@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def words(name: Column) -> Column:
     return F.filter(parts, lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once for the row, however often use names it and wherever."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _cut(word: Column, ending: str, by: str = "") -> tuple[Column, Column]:
     """Whether an ending can go (three letters must stay), and the word without it."""
     rest = F.length(word) - len(ending)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.functions.words import namespace_of
+from knotwork.functions.words import bound, namespace_of
 from knotwork.operators.graph import confidence_rank
+from knotwork.session import materialize
 
 #: Segments that name a layer outright, segments that hint at one, and which roles may not depend on which.
 EXPLICIT = {
@@ -41,8 +43,11 @@ def _role(segment: Column, names: dict[str, tuple[str, ...]]) -> Column:
 def layer(segments: Column) -> Column:
     """struct(role, position, explicit) of the first explicit layer, else of the last hint, else null."""
     marked = F.transform(segments, lambda s, i: F.struct(_role(s, EXPLICIT).alias("sure"), _role(s, GENERIC).alias("hint"), i.alias("at")))
-    sure = F.get(F.filter(marked, lambda x: x["sure"].isNotNull()), F.lit(0))
-    hint = F.try_element_at(F.filter(marked, lambda x: x["hint"].isNotNull()), F.lit(-1))
+    return bound(marked, lambda m: bound(F.struct(F.get(F.filter(m, lambda x: x["sure"].isNotNull()), F.lit(0)).alias("sure"), F.try_element_at(F.filter(m, lambda x: x["hint"].isNotNull()), F.lit(-1)).alias("hint")), _found_layer))
+
+
+def _found_layer(x: Column) -> Column:
+    sure, hint = x["sure"], x["hint"]
     found = F.when(sure["sure"].isNotNull(), F.struct(sure["sure"].alias("role"), sure["at"].alias("position"), F.lit(True).alias("explicit")))
     return found.when(hint["hint"].isNotNull(), F.struct(hint["hint"].alias("role"), hint["at"].alias("position"), F.lit(False).alias("explicit")))
 
@@ -78,18 +83,27 @@ def boundaries(edges: DataFrame, depth: int) -> DataFrame:
     return pairs.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _of_ends(pairs: DataFrame, **columns: Callable[[Column], Column]) -> DataFrame:
+    """pairs(source, target) with columns of both ends, from_ and to_, worked out once for each class and then joined."""
+    pairs = materialize(pairs, "pairs")
+    ends = pairs.select(F.col("source").alias("_id")).union(pairs.select("target")).distinct().withColumns({name: of(F.col("_id")) for name, of in columns.items()})
+    ends = materialize(ends, "ends")
+    for side, end in (("from", "source"), ("to", "target")):
+        pairs = pairs.join(ends.select(F.col("_id").alias(end), *(F.col(c).alias(f"{side}_{c}") for c in columns)), end)
+    return pairs
+
+
 def layered(edges: DataFrame) -> DataFrame:
     """Edges with the layer and the context of both ends."""
-    out = edges.withColumns({"_s": namespace_of(F.col("source")), "_t": namespace_of(F.col("target"))})
-    out = out.withColumns({"from_layer": layer(F.col("_s")), "to_layer": layer(F.col("_t"))})
-    return out.withColumns({"from_context": context(F.col("_s"), F.col("from_layer")), "to_context": context(F.col("_t"), F.col("to_layer"))}).drop("_s", "_t")
+    return _of_ends(edges, layer=lambda c: layer(namespace_of(c)), context=lambda c: bound(namespace_of(c), lambda parts: bound(layer(parts), lambda found: context(parts, found))))
 
 
 def rule_role(ident: Column) -> Column:
     """The layer that rules on dependencies see: that of the class, unless its segment is too vague for rules."""
-    parts = namespace_of(ident)
-    found = layer(parts)
-    return F.when(~F.lower(F.get(parts, found["position"])).isin(*NOT_IN_RULES), found["role"])
+    def role(parts: Column) -> Column:
+        return bound(layer(parts), lambda found: F.when(~F.lower(F.get(parts, found["position"])).isin(*NOT_IN_RULES), found["role"]))
+
+    return bound(namespace_of(ident), role)
 
 
 def layer_violations(edges: DataFrame) -> DataFrame:
@@ -99,15 +113,16 @@ def layer_violations(edges: DataFrame) -> DataFrame:
     every edge."""
     best = F.min_by("confidence", confidence_rank(F.col("confidence")))
     pairs = edges.where("confidence <> 'AMBIGUOUS'").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), best.alias("confidence"))
-    placed = pairs.withColumns({"from_role": rule_role(F.col("source")), "to_role": rule_role(F.col("target"))})
+    placed = _of_ends(pairs, role=rule_role)
     forbidden = F.struct("from_role", "to_role").isin(*(F.struct(F.lit(a), F.lit(b)) for a, b in FORBIDDEN))
     return placed.where(forbidden).select("source", "target", "from_role", "to_role", "n", "confidence")
 
 
 def context_pairs(edges: DataFrame) -> DataFrame:
     """(from_context, to_context, n): edges that cross bounded contexts."""
-    crossing = layered(edges).where(F.col("from_context") != F.col("to_context"))
-    return crossing.groupBy("from_context", "to_context").agg(F.count(F.lit(1)).alias("n"))
+    pairs = edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    crossing = layered(pairs).where(F.col("from_context") != F.col("to_context"))
+    return crossing.groupBy("from_context", "to_context").agg(F.sum("n").alias("n"))
 
 
 def glob(pattern: str) -> str:

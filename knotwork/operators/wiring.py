@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.words import namespace_of, path_segments
 from knotwork.operators.rollup import context, layer
-from knotwork.operators.traverse import reach
+from knotwork.operators.traverse import ranked_lineage, reach
 
 #: Directories of tests, and kinds of tests that a module keeps.
 TEST_FOLDERS = ("tests", "test", "spec", "specs", "__tests__", "behat")
@@ -179,15 +179,11 @@ def distinct_suffixes(classes: DataFrame) -> DataFrame:
 
 
 def found_members(members: DataFrame, edges: DataFrame, relations: tuple[str, ...] = ("extends", "uses_trait")) -> DataFrame:
-    """(class, name, type, depth): the type of each property members(class, name, type) that a class has: its own, else the nearest
-    ancestor's, and of equally near ones by the order of the relations that lead there last."""
-    order = F.lit(len(relations))
-    for i, r in reversed(list(enumerate(relations))):
-        order = F.when(F.col("relation") == r, i).otherwise(order)
-    kept = edges.where(F.col("relation").isin(*relations)).withColumn("confidence", F.lit("EXTRACTED"))
-    starts = kept.select(F.col("source").alias("start")).union(members.select("class")).distinct()
-    lineage = reach(kept, starts, backward=False).select("start", "id", "depth")
-    last = kept.groupBy(F.col("target").alias("id")).agg(F.min(order).alias("way"))
-    own = lineage.join(last, "id", "left").join(members.select(F.col("class").alias("id"), "name", "type"), "id")
-    best = own.groupBy(F.col("start").alias("class"), "name").agg(F.min(F.struct("depth", F.when(F.col("depth") == 0, -1).otherwise(F.col("way")).alias("way"), "id", "type")).alias("best"))
+    """(class, name, type, depth): the type of each property members(class, name, type) that a class has: its own, else that which a
+    depth-first search over its ancestors, earlier relations first, meets first."""
+    above = ranked_lineage(edges, relations)
+    alone = members.select(F.col("class").alias("start")).distinct().join(above, "start", "left_anti")
+    lineage = above.unionByName(alone.select("start", F.col("start").alias("id"), F.array().cast(above.schema["path"].dataType).alias("path")))
+    own = lineage.join(members.select(F.col("class").alias("id"), "name", "type"), "id")
+    best = own.groupBy(F.col("start").alias("class"), "name").agg(F.min(F.struct("path", "type", F.size("path").alias("depth"))).alias("best"))
     return best.select("class", "name", "best.type", "best.depth")

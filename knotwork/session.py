@@ -30,15 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder that was made where none is set.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on one machine (tests), one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-knotwork-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if not _made:
+            _made.append("file://" + tempfile.mkdtemp(prefix="spark-knotwork-"))
+        base = _made[0]
     return base.rstrip("/")
 
 
@@ -59,21 +63,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(folder: str) -> None:
-    import pyarrow.fs
-
-    store, path = pyarrow.fs.FileSystem.from_uri(folder)
-    if store.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
-        store.delete_dir(path)
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Through the file system that Spark writes to, so that a path without a scheme means the same one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read any more."""
-    for file in {x for df in tables for x in df.inputFiles()}:
+    for spark, file in {(df.sparkSession, x) for df in tables for x in df.inputFiles()}:
         folder = next((w for w in _written if w.rpartition("/")[2] in file.split("/")), None)
         if folder:
             _written.remove(folder)
-            _delete(folder)
+            _delete(spark, folder)
 
 
 def written() -> list[str]:
@@ -87,7 +89,7 @@ def discard_folders(folders: list[str], *kept: DataFrame) -> None:
     for folder in folders:
         if folder in _written and folder.rpartition("/")[2] not in names:
             _written.remove(folder)
-            _delete(folder)
+            _delete(kept[0].sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:

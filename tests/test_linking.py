@@ -1,6 +1,7 @@
 """Linking operators on small facts with known answers, rings and missing facts included."""
 
-from knotwork.operators import linking
+from knotwork import session
+from knotwork.operators import linking, wiring
 
 
 def rows(df):
@@ -67,3 +68,21 @@ def test_import_prefixes(spark):
     files = spark.createDataFrame([("leaf",), ("root",), ("r1",)], "file string")
     got = rows(linking.import_prefixes(files, imports, depth=3))
     assert got == {("leaf", "/api/x"), ("leaf", "/"), ("root", ""), ("r1", "/q/q/q/q")}
+
+
+def test_properties_are_found_depth_first(spark):
+    """A parent's ancestors come before a trait, however far, and relations of other classes play no part."""
+    edges = [("A", "extends", "B"), ("B", "extends", "C"), ("A", "uses_trait", "T"), ("X", "extends", "Z"), ("X", "uses_trait", "Y"), ("W", "extends", "Y"), ("V", "uses_trait", "Z")]
+    members = [("C", "p", "of C"), ("T", "p", "of T"), ("T", "q", "of T"), ("Z", "r", "of Z"), ("Y", "r", "of Y"), ("Lone", "s", "own")]
+    got = wiring.found_members(spark.createDataFrame(members, "class string, name string, type string"), spark.createDataFrame(edges, "source string, relation string, target string"))
+    found = {(r["class"], r.name): (r.type, r.depth) for r in got.collect()}
+    assert found["A", "p"] == ("of C", 2) and found["A", "q"] == ("of T", 1) and found["X", "r"] == ("of Z", 1) and found["V", "r"] == ("of Z", 1) and found["Lone", "s"] == ("own", 0)
+
+
+def test_a_shared_folder_is_made_once_where_none_is_set(spark, monkeypatch):
+    kept = session._made[:]
+    monkeypatch.setattr(spark.conf.__class__, "get", lambda self, key, default=None: None)
+    try:
+        assert session.shared_dir(spark) == session.shared_dir(spark) and session.shared_dir(spark).startswith("file:/")
+    finally:
+        session._made[:] = kept
