@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.operators import impact
-from knotwork.plans.catalogue import query
+from knotwork.functions.words import is_test_path, path_segments
+from knotwork.operators import growth, impact, patterns
+from knotwork.plans.catalogue import query, relevance_scores
 from knotwork.session import materialize, table
 from knotwork.sources.tables import code_graph
 
@@ -107,3 +108,57 @@ def impact_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = impact.entry_routes(graph, walk)
     found = impact.chains(walk, routes.select("start", "handler"), longest=30, most=40)
     return routes.join(found, ["start", "handler"]).select("start", "route", "handler", "confidence", "chain")
+
+
+_NAMES = r"list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')"
+
+
+def _common_sql(a: str, b: str) -> str:
+    return f"coalesce(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] = {b}[i]), false) - 1, least(len({a}), len({b})))"
+
+
+@query(f"""with p as (select distinct regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) as "group", array_to_string({_NAMES}, '.') as name from pages), r as (select *, string_split(name, '.') as parts from p),
+e as (select "group", count(*) as n, min(parts) as a, max(parts) as b, min(list_reverse(parts)) as c, max(list_reverse(parts)) as d, min(len(parts)) as least from r group by 1),
+f as (select "group", n, a, {_common_sql("a", "b")} as first, least({_common_sql("c", "d")}, least - {_common_sql("a", "b")}) as last from e),
+m as (select "group", middle, min(name) as name from (select r."group", array_to_string(parts[first + 1:len(parts) - last], '.') as middle, name from r join f using ("group")) group by 1, 2)
+select f."group" as host, case when n = 1 then array_to_string(a, '.') else array_to_string(list_concat(list_concat(a[1:first], ['{{' || (select string_agg(middle, ',' order by name) from m where m."group" = f."group") || '}}']), a[len(a) - last + 1:]), '.') end as pattern from f""")
+def path_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the paths of each host's pages have in common, written with dots."""
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1).alias("group"), F.array_join(path_segments(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)), ".").alias("name"))
+    return patterns.common_patterns(pages).withColumnRenamed("group", "host")
+
+
+@query(None)
+def grouped_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand as methods, `name(type)`: those of one type as one signature."""
+    name = F.regexp_replace(F.initcap("p_name"), "[^A-Za-z]", "")
+    return patterns.grouped_signatures(table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.concat(name, F.lit("("), "p_type", F.lit(")")).alias("signature"))).withColumnRenamed("group", "brand")
+
+
+def _about(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as classes about a market segment: (id, score, topic, half, words)."""
+    customers = table(spark, sf_dir, "customer")
+    on = F.col("c_mktsegment") == "BUILDING"
+    return customers.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.when(on, 1.0).otherwise(0.0).alias("score"), on.alias("topic"), on.alias("half"), F.lit(1).alias("words"))
+
+
+@query(None)
+def module_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes that work with the three richest customers of a segment, in rounds of admission."""
+    nodes, edges = code_graph(spark, sf_dir)
+    known = materialize(nodes.where(F.col("kind").isin("class", "interface") & ~F.coalesce(is_test_path(F.col("file")), F.lit(False)) & ~F.col("id").startswith("message:")).select("id", "kind"), "classes")
+    rich = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_custkey % 10 <> 9").orderBy(F.desc("c_acctbal"), "c_custkey").limit(3)
+    seeds = rich.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
+    return growth.grow_module(known, materialize(edges, "code-edges"), materialize(seeds, "seeds"), _about(spark, sf_dir))
+
+
+@query(None)
+def topic_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies around the parts that three words mean, within a budget of 60 nodes, and how far."""
+    nodes, edges = code_graph(spark, sf_dir)
+    known = materialize(nodes.select("id", "kind", F.coalesce(is_test_path(F.col("file")), F.lit(False)).alias("test")), "nodes")
+    scores = relevance_scores(spark, sf_dir)
+    method = F.concat(F.lit("I"), (F.col("id") % 20).cast("string"), F.lit("::p"), F.col("id").cast("string"))
+    scores = materialize(scores.select(method.alias("id"), "score", F.col("score").alias("own")), "scores")
+    seeds = materialize(scores.orderBy(F.desc("score"), "id").limit(6).select("id"), "seeds")
+    return growth.expand_topic(known, materialize(edges, "code-edges"), seeds, scores, depth=3, budget=60, shown=seeds.select(F.substring_index("id", "::", 1).alias("id")))
