@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions.words import is_test_path, path_segments
-from knotwork.operators import growth, impact, patterns
+from knotwork.operators import generics, growth, impact, patterns
 from knotwork.plans.catalogue import query, relevance_scores
 from knotwork.session import materialize, table
 from knotwork.sources.tables import code_graph
@@ -162,3 +162,22 @@ def topic_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = materialize(scores.select(method.alias("id"), "score", F.col("score").alias("own")), "scores")
     seeds = materialize(scores.orderBy(F.desc("score"), "id").limit(6).select("id"), "seeds")
     return growth.expand_topic(known, materialize(edges, "code-edges"), seeds, scores, depth=3, budget=60, shown=seeds.select(F.substring_index("id", "::", 1).alias("id")))
+
+
+@query("""with recursive c as (select c_custkey as k from customer),
+b(class, k, depth, t, u) as (select k, k, 0, 'T', 'U' from c union all select class, k // 3, depth + 1, 'list<' || t || '>', case when k // 3 % 2 = 0 then u else 'U' end from b where k % 4 = 1 and k > 1),
+i as (select class, 'I' || k % 20 as ancestor, depth + 1 as depth, t from b where k % 3 = 0 qualify row_number() over (partition by class, k % 20 order by depth) = 1)
+select 'C' || class as class, 'C' || k as ancestor, depth, 'T' as template, t as argument from b where depth > 0 union all select 'C' || class, 'C' || k, depth, 'U', u from b where depth > 0 and k % 2 = 0 union all select 'C' || class, ancestor, depth, 'E', t from i""")
+def template_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as generic classes: each extends one of a third of its number with a list of its own, and some implement an interface."""
+    k = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer").select(k, F.concat(F.lit("C"), k.cast("string")).alias("class"))
+    heirs = customers.where((k % 4 == 1) & (k > 1)).select("class", F.concat(F.lit("C"), F.expr("c_custkey div 3").cast("string")).alias("parent"))
+    faces = customers.where(k % 3 == 0).select("class", F.concat(F.lit("I"), (k % 20).cast("string")).alias("parent"))
+
+    def given(df: DataFrame, position: int, what: str) -> DataFrame:
+        return df.select("class", *(["parent"] if "parent" in df.columns else []), F.lit(position).alias("position"), F.lit(what).alias("argument"))
+
+    templates = given(customers, 0, "T").union(given(customers.where(k % 2 == 0), 1, "U")).union(given(faces.select(F.col("parent").alias("class")).distinct(), 0, "E")).withColumnRenamed("argument", "template")
+    parents = heirs.select(F.col("class").alias("source"), F.lit("extends").alias("relation"), F.col("parent").alias("target")).union(faces.select("class", F.lit("implements"), "parent"))
+    return generics.template_bindings(templates, parents, given(heirs, 0, "list<T>").union(given(heirs, 1, "U")).union(given(faces, 0, "T")))
