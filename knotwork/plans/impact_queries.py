@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions.words import is_test_path, path_segments
-from knotwork.operators import generics, growth, impact, patterns
+from knotwork.operators import cones, generics, growth, impact, patterns
 from knotwork.plans.catalogue import query, relevance_scores
 from knotwork.session import materialize, table
 from knotwork.sources.tables import code_graph
@@ -181,3 +181,26 @@ def template_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = given(customers, 0, "T").union(given(customers.where(k % 2 == 0), 1, "U")).union(given(faces.select(F.col("parent").alias("class")).distinct(), 0, "E")).withColumnRenamed("argument", "template")
     parents = heirs.select(F.col("class").alias("source"), F.lit("extends").alias("relation"), F.col("parent").alias("target")).union(faces.select("class", F.lit("implements"), "parent"))
     return generics.template_bindings(templates, parents, given(heirs, 0, "list<T>").union(given(heirs, 1, "U")).union(given(faces, 0, "T")))
+
+
+CONE = 8
+
+
+@query(f"""with recursive {_GRAPH}, app as (select id from n0 where id like 'C%' and kind = 'class' and not test),
+r0 as (select source as x, target as y, rank = 3 as guess from e where relation = 'calls' union all select e.source, e.target || '::__construct', false from e where relation = 'instantiates' and e.target || '::__construct' in (select id from n0)
+  union all select target, source, false from e where relation = 'overrides' and target in (select target from e where relation = 'overrides' group by 1 having count(*) <= 4)),
+r as (select x, y, bool_and(guess) as guess from r0 where x <> y and y in (select id from n0) and split_part(y, '::', 1) in (select id from app) group by 1, 2),
+b as (select id, count(distinct caller) as callers from (select target as id, split_part(source, '::', 1) as caller from e where relation = 'calls' union all select target || '::__construct', split_part(source, '::', 1) from e where relation = 'instantiates') where caller in (select id from app) group by 1),
+w(id, depth) as (select * from (select source, 0 from e where relation = 'calls' group by source order by count(*) desc, source limit 1) union select r.y, depth + 1 from w join r on r.x = w.id where depth < {CONE} and (depth = 0 or w.id not in (select id from b where callers >= 20))),
+cone as (select id, min(depth) as depth from w group by id),
+s(id) as (select id from cone where depth = 0 union select r.y from s join r on r.x = s.id where not guess and r.y in (select id from cone) and s.id not in (select id from b where callers >= 20)),
+f as (select cone.id, depth, coalesce(callers, 0) as callers from cone left join b using (id))
+select id, depth, case when callers >= 20 and depth > 0 then 'hub' when id in (select id from s) then 'sure' else 'guessed' end as state, callers from f""")
+def run_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the method with the most calls runs within eight steps, without bounds on methods or classes."""
+    nodes, edges = code_graph(spark, sf_dir)
+    edges = materialize(edges, "code-edges")
+    busiest = edges.where("relation = 'calls'").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    start = busiest.agg(F.min_by("source", F.struct(-F.col("n"), "source")).alias("start")).first().start  # one name
+    every = 1 << 30
+    return cones.run_cone(materialize(nodes, "nodes"), edges, start, CONE, methods=every, classes=every)
