@@ -82,12 +82,12 @@ def family_heads(edges: DataFrame, relations: tuple[str, ...], members: DataFram
     return near.select("id", "best.head", "best.depth")
 
 
-def shortest_paths(edges: DataFrame, start: str, mode: str = "dependency", reversible: tuple[str, ...] = ("implements", "extends", "overrides", "has_method"), blocked: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: str, mode: str = "dependency", reversible: tuple[str, ...] = ("implements", "extends", "overrides", "has_method"), blocked: DataFrame | None = None, max_depth: int | None = None, until: str | None = None) -> DataFrame:
     """(id, hops, previous, relation, forward): one shortest path from start to each node, as its last hop.
 
     dependency goes along edges, and against those of reversible relations; undirected goes both ways. Nodes in blocked
     (id) may end a path and never lie on one. Of parallel edges the heaviest is taken, then the least by name; of equally
-    short paths the one through the least id.
+    short paths the one through the least id. until: a node at which the search ends.
     """
     weight: Column = F.lit(0)
     for relation, value in PATH_WEIGHTS.items():
@@ -111,9 +111,33 @@ def shortest_paths(edges: DataFrame, start: str, mode: str = "dependency", rever
         if not level.limit(1).count():
             break
         levels.append(level)
+        if until is not None and level.where(F.col("id") == until).limit(1).count():
+            break
     return _union(levels)
 
 
+def path_ladder(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(position, source, target, relation, forward, mode, reversed): a shortest path of the most telling kind that there is.
+
+    First along dependencies, then along those the other way round (reversed), then whatever the direction, and last through any
+    node: but for the last, files and externals lie on no path. No rows where nothing leads from one to the other.
+    """
+    externals = edges.select(F.col("target").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    blocked = materialize(nodes.where(F.col("kind").isin("file", "external")).select("id").union(externals), "blocked")
+    spark = edges.sparkSession
+    hops: list[tuple] = []
+    for mode, turned in (("dependency", False), ("dependency", True), ("undirected", False), ("any", False)):
+        one, other = (end, start) if turned else (start, end)
+        found = shortest_paths(edges, one, "dependency" if mode == "dependency" else "undirected", blocked=None if mode == "any" else blocked, until=other)
+        at = other
+        while (hop := found.where((F.col("id") == at) & F.col("previous").isNotNull()).first()) is not None:  # a row for each hop of one path
+            hops.append((hop.hops, hop.previous, hop.id, hop.relation, hop.forward, mode, turned))
+            at = hop.previous
+        if hops or start == end:
+            break
+    return spark.createDataFrame(hops[::-1], "position int, source string, target string, relation string, forward boolean, mode string, reversed boolean")
+
+
 def caller_counts(edges: DataFrame, relations: tuple[str, ...] = ("calls", "instantiates")) -> DataFrame:
     """(id, callers): distinct sources that call a node."""
     return edges.where(F.col("relation").isin(*relations)).groupBy(F.col("target").alias("id")).agg(F.count_distinct("source").alias("callers"))

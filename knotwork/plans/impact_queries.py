@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions.words import is_test_path, path_segments
-from knotwork.operators import cones, generics, growth, impact, patterns
+from knotwork.operators import cones, generics, growth, impact, patterns, traverse
 from knotwork.plans.catalogue import query, relevance_scores
 from knotwork.session import materialize, table
-from knotwork.sources.tables import code_graph
+from knotwork.sources.tables import code_graph, place_edges, trade_nodes
 
 DEPTH, DAYS = 3, 30
 
@@ -204,3 +204,17 @@ def run_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = busiest.agg(F.min_by("source", F.struct(-F.col("n"), "source")).alias("start")).first().start  # one name
     every = 1 << 30
     return cones.run_cone(materialize(nodes, "nodes"), edges, start, CONE, methods=every, classes=every)
+
+
+@query("""with recursive places as (select 'customer:' || c_custkey as source, 'nation:' || c_nationkey as target from customer union all select 'supplier:' || s_suppkey, 'nation:' || s_nationkey from supplier union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation),
+ends as (select 'customer:1' as a, 'supplier:' || min(s_suppkey) as z from supplier join nation s on s_nationkey = s.n_nationkey join customer on c_custkey = 1 join nation c on c_nationkey = c.n_nationkey where s.n_regionkey = c.n_regionkey and s_nationkey <> c_nationkey),
+two_ways as (select source, target, true as forward from places union all select target, source, false from places),
+w(id, path, hops) as (select a, [a], []::struct(source varchar, target varchar, forward boolean)[] from ends union all select target, list_append(path, target), list_append(hops, {'source': source, 'target': target, 'forward': forward}) from w join two_ways on source = w.id where not list_contains(path, target) and len(path) < 5)
+select position::int as position, h.source, h.target, 'references' as relation, h.forward, 'undirected' as mode, false as reversed from (select unnest(hops) as h, unnest(range(1, len(hops) + 1)) as position from w, ends where id = z)""")
+def path_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way from a customer to the first supplier of another nation of its region: no dependency either way, so by both directions."""
+    nations = table(spark, sf_dir, "nation")
+    home = table(spark, sf_dir, "customer").where("c_custkey = 1").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", F.col("n_regionkey").alias("_region"))
+    near = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(home), (F.col("n_regionkey") == F.col("_region")) & (F.col("s_nationkey") != F.col("c_nationkey")))  # home: one row
+    end = near.agg(F.min("s_suppkey").alias("key")).first().key
+    return traverse.path_ladder(trade_nodes(spark, sf_dir), place_edges(spark, sf_dir), "customer:1", f"supplier:{end}")

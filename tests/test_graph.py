@@ -200,3 +200,19 @@ def test_application_nodes_and_rings(spark):
     chain = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("s", "r1")]
     ends = {tuple(r) for r in resolve.follow_aliases(spark.createDataFrame(chain, "id string, target string")).collect()}
     assert ends == {(f"n{i}", "n40") for i in range(40)}
+
+
+def test_path_ladder(spark):
+    nodes = spark.createDataFrame([(n, "file" if n == "f" else "class") for n in ("a", "b", "c", "d", "e", "f", "x", "y", "lone")], "id string, kind string")
+    edges = [("a", "calls", "b"), ("b", "calls", "c"), ("d", "calls", "c"), ("a", "references", "b"), ("f", "defines", "x"), ("f", "defines", "y"), ("x", "imports", "log"), ("e", "calls", "log"), ("e", "extends", "d")]
+    graph = spark.createDataFrame(edges, "source string, relation string, target string")
+
+    def ladder(start, end):
+        return [tuple(r) for r in traverse.path_ladder(nodes, graph, start, end).orderBy("position").collect()]
+
+    assert ladder("a", "c") == [(1, "a", "b", "calls", True, "dependency", False), (2, "b", "c", "calls", True, "dependency", False)]
+    assert ladder("c", "a") == [(1, "a", "b", "calls", True, "dependency", True), (2, "b", "c", "calls", True, "dependency", True)]
+    assert ladder("b", "e") == [(1, "b", "c", "calls", True, "undirected", False), (2, "c", "d", "calls", False, "undirected", False), (3, "d", "e", "extends", False, "undirected", False)]
+    assert [(h[1], h[2], h[5]) for h in ladder("x", "y")] == [("x", "f", "any"), ("f", "y", "any")]
+    assert [(h[1], h[2], h[5]) for h in ladder("x", "e")] == [("x", "log", "any"), ("log", "e", "any")]
+    assert ladder("a", "lone") == [] and ladder("a", "a") == []
