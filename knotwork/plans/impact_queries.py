@@ -11,7 +11,7 @@ from knotwork.plans.catalogue import query, relevance_scores
 from knotwork.session import materialize, table
 from knotwork.sources.tables import code_graph, place_edges, trade_nodes
 
-DEPTH, DAYS = 3, 30
+DEPTH, DAYS, ROUNDS = 3, 30, 4
 
 _GRAPH = """m as (select o_orderkey as k, 'C' || o_custkey as class, 'C' || o_custkey || case when o_orderkey % 19 = 0 then '::__construct' else '::m' || o_orderkey end as method, o_orderdate from orders),
 p as (select 'I' || p_partkey % 20 as class, 'I' || p_partkey % 20 || '::p' || p_partkey as method from part),
@@ -95,16 +95,16 @@ def impact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def entry_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The routes that the changes of the last day reach, however far."""
+    """The routes that the changes of the last ten days reach within three steps and four rounds more."""
     graph = _steps(spark, sf_dir)
-    return impact.entry_routes(graph, impact.entry_walk(graph, impact.impact_walk(graph, _changed(spark, sf_dir, 1), DEPTH)))
+    return impact.entry_routes(graph, impact.entry_walk(graph, impact.impact_walk(graph, _changed(spark, sf_dir, 10), DEPTH), ROUNDS))
 
 
 @query(None)
 def impact_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each route the ways from its handler to the change: of the simple paths of at most 30 nodes the 40 shortest."""
     graph = _steps(spark, sf_dir)
-    walk = impact.entry_walk(graph, impact.impact_walk(graph, _changed(spark, sf_dir, 1), DEPTH))
+    walk = impact.entry_walk(graph, impact.impact_walk(graph, _changed(spark, sf_dir, 10), DEPTH), ROUNDS)
     routes = impact.entry_routes(graph, walk)
     found = impact.chains(walk, routes.select("start", "handler"), longest=30, most=40)
     return routes.join(found, ["start", "handler"]).select("start", "route", "handler", "confidence", "chain")
