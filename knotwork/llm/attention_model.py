@@ -8,6 +8,7 @@ times its share. Parameters are one flat vector, which is what tasks train, aver
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -42,79 +43,109 @@ def fresh(shape: Shape, class_share: np.ndarray, seed: int = 7) -> np.ndarray:
     return flat
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place. Values are cut at 80 instead of shifted: single precision holds their exponentials."""
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    np.divide(x, x.sum(axis=-1, keepdims=True), out=x)
-    return x
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, as a product: faster than a sum over short rows."""
+    return x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)
+
+
+def _exponentials(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Of the logits of classes. Logits are cut at 80 instead of shifted: single precision holds their exponentials."""
+    p = h @ w["c"]
+    p += w["b"]
+    # no logit is above the product of norms
+    if not (np.square(h).sum(axis=1).max(initial=0) * np.square(w["c"]).sum(axis=0).max()) ** 0.5 + w["b"].max() < 80:
+        np.minimum(p, 80, out=p)
+    return np.exp(p, out=p)
+
+
+@lru_cache(maxsize=64)
+def _later(t: int, kind: str) -> np.ndarray:
+    """What hides later places from earlier ones."""
+    return np.triu(np.full((t, t), -1e9, kind), 1)
 
 
 def _forward(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The inputs, these under the product of queries and keys and under that of values and outputs, the attention, the sum."""
     b, t = inputs.shape
     d = w["q"].shape[0]
-    x = w["e"][inputs] + w["p"][:t]
+    x = w["e"][inputs]
+    x += w["p"][:t]
     flat = x.reshape(-1, d)
-    q, k, v = ((flat @ w[n]).reshape(b, t, d) for n in "qkv")
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(d**-0.5)
-    s += np.triu(np.full((t, t), -1e9, np.float32), 1)
-    a = _softmax(s)
-    o = a @ v
-    h = x + (o.reshape(-1, d) @ w["o"]).reshape(b, t, d)
-    return x, q, k, v, a, o, h
+    y = (flat @ (w["q"] @ w["k"].T * x.dtype.type(d**-0.5))).reshape(b, t, d)
+    z = (flat @ (w["v"] @ w["o"])).reshape(b, t, d)
+    s = y @ x.transpose(0, 2, 1)
+    s += _later(t, s.dtype.char)
+    a = np.exp(np.minimum(s, 80, out=s), out=s)
+    a /= _summed(a).reshape(b, t, 1)
+    h = a @ z
+    h += x
+    return x, y, z, a, h
 
 
 def class_log_probs(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target class, for windows in rows; later places never show in earlier ones."""
     h = _forward(w, inputs)[-1]
-    logits = h.reshape(-1, h.shape[-1]) @ w["c"]
-    logits += w["b"]
-    np.minimum(logits, 80, out=logits)
-    picked = logits[np.arange(len(logits)), targets.ravel()]
-    np.exp(logits, out=logits)
-    return (picked - np.log(logits.sum(axis=1))).reshape(inputs.shape)
+    p = _exponentials(w, h.reshape(-1, h.shape[-1]))
+    return np.log(p[np.arange(len(p)), targets.ravel()] / _summed(p)).reshape(inputs.shape)
 
 
 def gradient(shape: Shape, flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, float]:
     """The gradient of the mean loss over valid places, and that loss."""
     w, out = shape.split(flat), np.zeros_like(flat)
     g = shape.split(out)
-    d, scale = shape.width, np.float32(shape.width**-0.5)
-    x, q, k, v, a, o, h = _forward(w, inputs)
-    p = _softmax(h.reshape(-1, d) @ w["c"] + w["b"])
-    rows, good = np.arange(len(p)), valid.ravel()
-    n = max(1, int(good.sum()))
-    loss = -float(np.log(p[rows, targets.ravel()] + 1e-30)[good].sum()) / n
-    p[rows, targets.ravel()] -= 1
-    p *= (good / n).astype(np.float32)[:, None]
+    d = shape.width
+    scale = flat.dtype.type(d**-0.5)
+    x, y, z, a, h = _forward(w, inputs)
     flat_h, flat_x = h.reshape(-1, d), x.reshape(-1, d)
-    g["c"][:] = flat_h.T @ p
-    g["b"][:] = p.sum(axis=0)
-    dh = (p @ w["c"].T).reshape(x.shape)
-    g["o"][:] = o.reshape(-1, d).T @ dh.reshape(-1, d)
-    do = (dh.reshape(-1, d) @ w["o"].T).reshape(x.shape)
-    da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * scale
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh.copy()
-    for name, back in (("q", dq), ("k", dk), ("v", dv)):
-        g[name][:] = flat_x.T @ back.reshape(-1, d)
-        dx += (back.reshape(-1, d) @ w[name].T).reshape(x.shape)
+    p = _exponentials(w, flat_h)
+    rows, target, good = np.arange(len(p)), targets.ravel(), valid.ravel()
+    n = max(1, int(good.sum()))
+    total = _summed(p)
+    loss = -float(np.log(p[rows, target] / total + 1e-30)[good].sum()) / n
+    # p less 1 at the target, times part, is the gradient of the logits
+    p[rows, target] -= total
+    part = (good / n).astype(p.dtype) / total
+    g["c"][:] = (flat_h * part[:, None]).T @ p
+    g["b"][:] = part @ p
+    dh = ((p @ w["c"].T) * part[:, None]).reshape(x.shape)
+    dz = a.transpose(0, 2, 1) @ dh
+    ds = dh @ z.transpose(0, 2, 1)
+    ds -= np.einsum("ijk,ijk->ij", ds, a)[:, :, None]
+    ds *= a
+    dy = ds @ x
+    # of the two products of matrices, and of the inputs
+    both = flat_x.T @ dy.reshape(-1, d) * scale
+    g["q"][:], g["k"][:] = both @ w["k"], both.T @ w["q"]
+    both = flat_x.T @ dz.reshape(-1, d)
+    g["v"][:], g["o"][:] = both @ w["o"].T, w["v"].T @ both
+    dx = ds.transpose(0, 2, 1) @ y
+    dx += dh
+    dx += (dy.reshape(-1, d) @ (w["k"] @ w["q"].T * scale)).reshape(x.shape)
+    dx += (dz.reshape(-1, d) @ (w["v"] @ w["o"]).T).reshape(x.shape)
     g["p"][: x.shape[1]] = dx.sum(axis=0)
-    np.add.at(g["e"], inputs.ravel(), dx.reshape(-1, d))
+    order = np.argsort(inputs.ravel(), kind="stable")
+    held = inputs.ravel()[order]
+    first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+    g["e"][held[first]] = np.add.reduceat(dx.reshape(-1, d)[order], first)
     return out, loss
 
 
 def train(shape: Shape, flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, rate: float, batch: int = 64) -> np.ndarray:
-    """One pass over the windows in the given order, with Adam."""
+    """One pass over the windows in the given order, with Adam. Its means are kept as sums, ten and a hundred times as large."""
     flat, m, s = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
     for step, at in enumerate(range(0, len(inputs), batch), 1):
         g, _ = gradient(shape, flat, inputs[at : at + batch], targets[at : at + batch], valid[at : at + batch])
-        m += 0.1 * (g - m)
-        s += 0.01 * (g * g - s)
-        flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        m *= 0.9
+        m += g
+        s *= 0.99
+        g *= g
+        s += g
+        np.sqrt(s, out=g)
+        scale = (0.01 / (1 - 0.99**step)) ** 0.5
+        g += 1e-8 / scale
+        np.divide(m, g, out=g)
+        g *= 0.1 * rate / (1 - 0.9**step) / scale
+        flat -= g
     return flat
 
 

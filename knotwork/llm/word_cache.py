@@ -15,6 +15,7 @@ import gc
 import json
 import os
 import re
+import sys
 from array import array
 from functools import lru_cache
 
@@ -109,6 +110,17 @@ class CachedTokenizer:
         own = self.found(word) if marks and lead else self.by_model(word, lead)
         return line_end + own + self.tail(marks) if marks or line_end else own
 
+    def last(self, part: str) -> int | None:
+        """The last id of a part, worked out from no more of it than that takes; None if it has no ids."""
+        if self.known and not self.lead:
+            if part.isascii() and part.isalpha():
+                return self.model.tokenize(self.simple(part))[-1].id
+            plain = _PLAIN.fullmatch(part)
+            ids = self.tail(plain[2]) if plain and plain[2] else self.spelled(part)
+        else:
+            ids = self.spelled(part)
+        return int.from_bytes(ids[-4:], sys.byteorder) if ids else None
+
     def found(self, part: str) -> bytes:
         """The ids of a part, known or worked out."""
         ids = self.young.get(part) or self.old.get(part)
