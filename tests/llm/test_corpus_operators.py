@@ -13,6 +13,7 @@ import pytest
 from knotwork.llm import exact_search, jaccard_join, lm_scoring, quality_rules, repeat_removal
 from knotwork.llm.attention_model import Shape, gradient, windows
 from knotwork.llm.suffix_array import common_prefixes, suffix_array
+from knotwork.llm.word_cache import cached_tokenizer
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -327,6 +328,13 @@ def test_lm_held_out_scores_against_base(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_last_ids_are_the_librarys():
+    known = cached_tokenizer(public_tokenizers.path("word_bpe_49k.json"), True)
+    for word in ["x", "house", "house,", "don't", "(q)", "...", "é,", "naïve!", "日本", "12,5", "a\x00b", "\x1c", "\u3000"]:
+        ids = known.tokenizer.encode(word, add_special_tokens=False).ids
+        assert known.last(word) == (ids[-1] if ids else None)
+
+
 def test_lm_pairs_of_one_slot(spark):
     every = np.arange(1, 3_000_000)
     slots = lm_scoring._slot(every)
