@@ -328,6 +328,30 @@ def test_lm_held_out_scores_against_base(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """However many partitions links come from, they are written in no more files than there are cores."""
+    rng, files, shuffles = random.Random(13), {}, spark.conf.get("spark.sql.shuffle.partitions")
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200 + i, t + " end") for i, t in enumerate(texts)]
+    plain = jaccard_join.materialize
+
+    def counted(df, label, **more):
+        out = plain(df, label, **more)
+        files[label] = max(files.get(label, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = {r.doc_id: r.component_id for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {i: i % 200 for i, _ in rows}
+    assert all(files[label] <= spark.sparkContext.defaultParallelism for label in ("stars", "pairs", "links", "least", "owned"))
+
+
 def test_last_ids_are_the_librarys():
     known = cached_tokenizer(public_tokenizers.path("word_bpe_49k.json"), True)
     for word in ["x", "house", "house,", "don't", "(q)", "...", "é,", "naïve!", "日本", "12,5", "a\x00b", "\x1c", "\u3000"]:
