@@ -82,11 +82,11 @@ def _forward(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray,
     return x, y, z, a, h
 
 
-def class_log_probs(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target class, for windows in rows; later places never show in earlier ones."""
-    h = _forward(w, inputs)[-1]
-    p = _exponentials(w, h.reshape(-1, h.shape[-1]))
-    return np.log(p[np.arange(len(p)), targets.ravel()] / _summed(p)).reshape(inputs.shape)
+def class_log_probs(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Natural log probability of the target class at each wanted place of windows in rows; later places never show in earlier
+    ones. Places that are not wanted are context only: their classes are not worked out."""
+    p = _exponentials(w, _forward(w, inputs)[-1][wanted])
+    return np.log(p[np.arange(len(p)), targets[wanted]] / _summed(p))
 
 
 def gradient(shape: Shape, flat: np.ndarray, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, float]:
@@ -123,10 +123,7 @@ def gradient(shape: Shape, flat: np.ndarray, inputs: np.ndarray, targets: np.nda
     dx += (dy.reshape(-1, d) @ (w["k"] @ w["q"].T * scale)).reshape(x.shape)
     dx += (dz.reshape(-1, d) @ (w["v"] @ w["o"]).T).reshape(x.shape)
     g["p"][: x.shape[1]] = dx.sum(axis=0)
-    order = np.argsort(inputs.ravel(), kind="stable")
-    held = inputs.ravel()[order]
-    first = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-    g["e"][held[first]] = np.add.reduceat(dx.reshape(-1, d)[order], first)
+    np.add.at(g["e"].reshape(-1), (inputs.reshape(-1, 1) * d + np.arange(d)).ravel(), dx.ravel())
     return out, loss
 
 

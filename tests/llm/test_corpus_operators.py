@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from knotwork.llm import exact_search, jaccard_join, lm_scoring, quality_rules, repeat_removal
+from knotwork.llm import attention_model, exact_search, jaccard_join, lm_scoring, quality_rules, repeat_removal
 from knotwork.llm.attention_model import Shape, gradient, windows
 from knotwork.llm.suffix_array import common_prefixes, suffix_array
 from knotwork.llm.word_cache import cached_tokenizer
@@ -352,6 +352,24 @@ def test_small_tables_have_few_files(spark, monkeypatch):
     assert all(files[label] <= spark.sparkContext.defaultParallelism for label in ("stars", "pairs", "links", "least", "owned"))
 
 
+def test_lm_works_out_each_place_and_rare_word_once(spark, monkeypatch):
+    """Overlapping windows share places, and rare words recur: classes are worked out once a place, units once a word."""
+    file, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(12)
+    texts = [" ".join(rng.choice(["the", "model", "Zürich,", "qxzv"]) for _ in range(n)) for n in (0, 1, 19, 20, 21, 60, 200)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    scorer = lm_scoring.Scorer(lm_scoring.fit(df, lm_scoring.word_counts(df, "text").cache(), file, lm_scoring.LmOptions(head=1)), file)
+    worked_out, asked, plain, unit = [], [], attention_model._exponentials, scorer.words.unit
+    monkeypatch.setattr(attention_model, "_exponentials", lambda w, h: worked_out.append(h.size // h.shape[-1]) or plain(w, h))
+    scorer.words.unit = lambda word: asked.append(word) or unit(word)
+    together = scorer.score(texts)
+    assert sum(worked_out) == together["n_tokens"].sum()
+    assert len(asked) == len(set(asked)) > 1
+    monkeypatch.setattr(lm_scoring, "KEPT", 1)
+    scorer.words.kept.clear()
+    apart = [scorer.score([t])["head_score"][0] for t in texts]
+    assert np.allclose(together["head_score"], apart, rtol=1e-5)
+
+
 def test_last_ids_are_the_librarys():
     known = cached_tokenizer(public_tokenizers.path("word_bpe_49k.json"), True)
     for word in ["x", "house", "house,", "don't", "(q)", "...", "é,", "naïve!", "日本", "12,5", "a\x00b", "\x1c", "\u3000"]:
