@@ -121,6 +121,25 @@ def test_jaccard_pair_in_a_bucket_that_neither_probes():
     assert solve(tile(2, [True, False], [0, 1]))["set"].tolist() == [0, 1]
 
 
+def test_jaccard_tells_long_texts_apart(spark):
+    """Long texts that have nothing in common are told apart by their sketches alone; linked ones whose sketches differ in length are not."""
+    rng = random.Random(5)
+    long, other, edge = ([f"{name}{rng.randrange(10**9)}" for _ in range(n)] for name, n in (("a", 6000), ("b", 6000), ("c", 1900)))
+    texts = [" ".join(x) for x in (long, other, edge, edge[:1800], long[:4500])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, _ = jaccard_join._met(df, 5, 80, "doc_id", "text", F.lit(0), 0)
+    name = {r.id: r.set for r in sets.select("id", "set").collect()}
+    assert len({len(r.sketch) for r in sets.where("id in (2, 3)").select("sketch").collect()}) == 2
+    pairs = spark.createDataFrame([(name[x], name[y]) for x in name for y in name if x < y], "a long, b long")
+    near = {(r.a, r.b) for r in jaccard_join._not_apart(pairs, sets.select("set", "n", "sketch"), 80).collect()}
+    assert near == {(name[2], name[3])}
+    rows = sets.orderBy("id").toPandas()
+    tile = {"label": rows["set"].to_numpy(), "n": rows["n"].to_numpy(), "probe": np.ones(5, bool), "tile": np.zeros(5, int), "i": np.zeros(5, int), "j": np.zeros(5, int), "sketch": pa.array(rows["sketch"], pa.list_(pa.int64()))}
+    assert [(x, y) for xs, ys, _ in jaccard_join._candidates(tile, 80) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)] in ([(2, 3)], [(3, 2)])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(df, 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == _classes(texts, 5, 80)
+
+
 def test_jaccard_of_nothing(documents):
     assert jaccard_join.classes(documents.limit(0)).count() == 0
 
