@@ -1,7 +1,9 @@
 """Linking operators on small facts with known answers, rings and missing facts included."""
 
+import random
+
 from knotwork import session
-from knotwork.operators import linking, wiring
+from knotwork.operators import linking, resolve, wiring
 
 
 def rows(df):
@@ -86,3 +88,30 @@ def test_a_shared_folder_is_made_once_where_none_is_set(spark, monkeypatch):
         assert session.shared_dir(spark) == session.shared_dir(spark) and session.shared_dir(spark).startswith("file:/")
     finally:
         session._made[:] = kept
+
+
+def test_pairs_of_large_keys_are_made_in_parts(spark, monkeypatch):
+    """All pairs of a key, whose held rows lie in several parts; a key that one side alone has gives none."""
+    monkeypatch.setattr(resolve, "PART", 3)
+    streamed = spark.createDataFrame([("k", i) for i in range(5)] + [("x", 1), (None, 1)], "key string, a int")
+    held = spark.createDataFrame([("k", i) for i in range(20)] + [("y", 1), (None, 1)], "key string, b int")
+    found = resolve._pairs(streamed, held, ["key"])
+    assert sorted(tuple(r) for r in found.collect()) == [("k", a, b) for a in range(5) for b in range(20)]
+
+
+def test_state_readers_of_methods_with_several_ways(spark):
+    """Methods that access a property by several classes or constants give each link once; pairs of all others are not aggregated."""
+    rng = random.Random(3)
+    kinds, constants = ("read", "write"), ([], ["a"], ["b"], ["a", "c"], None)
+    rows = [(f"m{rng.randrange(12)}", f"C{rng.randrange(2)}", f"p{rng.randrange(3)}", rng.choice(kinds), rng.choice(constants)) for _ in range(90)] + [(None, "C0", "p0", "read", []), ("m1", None, "p0", "write", [])]
+    want = set()
+    for m, c, p, k, own in rows:
+        for m2, c2, p2, k2, other in rows:
+            if (k, k2) == ("write", "read") and c == c2 and p == p2 and None not in (m, m2, c) and m != m2:
+                if own == [] or other == []:
+                    want.add((m, m2, p, "AMBIGUOUS"))
+                elif own and other and set(own) & set(other):
+                    want.add((m, m2, p, "INFERRED"))
+    found = resolve.state_readers(spark.createDataFrame(rows, "method string, class string, property string, kind string, constants array<string>"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
