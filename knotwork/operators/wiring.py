@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.words import namespace_of, path_segments
 from knotwork.operators.rollup import context, layer
 from knotwork.operators.traverse import ranked_lineage, reach
+from knotwork.session import discard, materialize
 
 #: Directories of tests, and kinds of tests that a module keeps.
 TEST_FOLDERS = ("tests", "test", "spec", "specs", "__tests__", "behat")
@@ -178,12 +182,63 @@ def distinct_suffixes(classes: DataFrame) -> DataFrame:
     return classes.select("id").distinct().join(best, "id", "left").select("id", F.coalesce("shown", "id").alias("shown"))
 
 
+def _heights(steps: DataFrame) -> DataFrame:
+    """(class, height): how many steps(_at, to) lead up from each class at most; classes on a ring or below one are left out.
+    Classes are settled in rounds, once all that they lead to are."""
+    classes = materialize(steps.select(F.col("_at").alias("class")).union(steps.select("to")).distinct(), "classes")
+    open_steps, levels = steps.select("_at", "to"), []
+    for height in count():
+        level = materialize(classes.join(open_steps.select(F.col("_at").alias("class")), "class", "left_anti").select("class", F.lit(height).alias("height")), "heights")
+        if not level.limit(1).count():
+            break
+        levels.append(level)
+        rest = materialize(classes.join(level, "class", "left_anti"), "classes")
+        ahead = materialize(open_steps.join(level.select(F.col("class").alias("to")), "to", "left_anti").select("_at", "to"), "steps")
+        discard(classes)
+        if height:
+            discard(open_steps)
+        classes, open_steps = rest, ahead
+    return reduce(DataFrame.unionByName, levels) if levels else classes.select("class", F.lit(0).alias("height")).limit(0)
+
+
 def found_members(members: DataFrame, edges: DataFrame, relations: tuple[str, ...] = ("extends", "uses_trait")) -> DataFrame:
     """(class, name, type, depth): the type of each property members(class, name, type) that a class has: its own, else that which a
-    depth-first search over its ancestors, earlier relations first, meets first."""
-    above = ranked_lineage(edges, relations)
-    alone = members.select(F.col("class").alias("start")).distinct().join(above, "start", "left_anti")
-    lineage = above.unionByName(alone.select("start", F.col("start").alias("id"), F.array().cast(above.schema["path"].dataType).alias("path")))
-    own = lineage.join(members.select(F.col("class").alias("id"), "name", "type"), "id")
-    best = own.groupBy(F.col("start").alias("class"), "name").agg(F.min(F.struct("path", "type", F.size("path").alias("depth"))).alias("best"))
-    return best.select("class", "name", "best.type", "best.depth")
+    depth-first search over its ancestors, earlier relations first, meets first.
+
+    That is what the first of its parents has that has the property at all, so members are handed down, from classes without
+    parents, and no lineage is made. Where classes are their own ancestors, these and what is below have lineages.
+    """
+    rank = F.array_position(F.array(*(F.lit(r) for r in relations)), F.col("relation")).cast("int")
+    steps = edges.where(F.col("relation").isin(*relations)).select(F.col("source").alias("_at"), rank.alias("rank"), F.col("target").alias("to"))
+    steps = materialize(steps.distinct(), "steps")
+    heights = materialize(_heights(steps), "heights")
+    own = materialize(members.where("class is not null").groupBy("class", "name").agg(F.min(F.struct("type")).alias("least")).select("class", "name", "least.type"), "own")
+    lone = own.join(steps.select(F.col("_at").alias("class")), "class", "left_anti")
+    down = materialize(steps.join(heights.withColumnsRenamed({"class": "_at", "height": "_height"}), "_at"), "downward")
+    first = F.min(F.struct("rank", "to", "type", "depth")).alias("best")
+    mine = own.select("class", "name", F.lit(0).alias("rank"), F.lit("").alias("to"), "type", F.lit(0).alias("depth"))
+    level = materialize(lone.select("class", "name", "type", F.lit(0).alias("depth")), "found")
+    levels, waiting = [level], []
+    last = heights.agg(F.max("height")).first()[0] or 0
+    for height in range(1, last + 1):
+        # what a level hands down to classes that are not next waits for the other parents of these
+        given = level.join(down, level["class"] == down["to"]).select(F.col("_at").alias("class"), "name", "rank", "to", "type", (F.col("depth") + 1).alias("depth"), "_height")
+        late = materialize(given.where(F.col("_height") > height), "waiting")
+        ready = [given, *waiting]
+        if late.limit(1).count():
+            waiting = [*waiting, late]
+        here = mine.join(heights.where(F.col("height") == height), "class", "left_semi")
+        ready = reduce(DataFrame.union, [here, *(x.where(F.col("_height") == height).drop("_height") for x in ready)])
+        level = materialize(ready.groupBy("class", "name").agg(first).select("class", "name", "best.type", "best.depth"), "found")
+        levels.append(level)
+    found = reduce(DataFrame.unionByName, levels)
+    rings = materialize(steps.join(heights.select(F.col("class").alias("_at")), "_at", "left_anti"), "rings")
+    if not rings.limit(1).count():
+        return found
+    ringed = rings.select(F.col("_at").alias("class")).distinct()
+    inner = rings.join(ringed.withColumnRenamed("class", "to"), "to", "left_semi").select(F.col("_at").alias("source"), F.element_at(F.array(*(F.lit(r) for r in relations)), F.col("rank")).alias("relation"), F.col("to").alias("target"))
+    lineage = ranked_lineage(inner, relations)
+    outer = rings.join(found.withColumnRenamed("class", "to"), "to").select(F.col("_at").alias("id"), "name", "type", "depth", F.array(F.struct("rank", "to")).alias("_step"))
+    given = own.select(F.col("class").alias("id"), "name", "type", F.lit(0).alias("depth"), F.array().cast(outer.schema["_step"].dataType).alias("_step")).union(outer.select("id", "name", "type", (F.col("depth") + 1).alias("depth"), "_step"))
+    best = lineage.join(given, "id").groupBy(F.col("start").alias("class"), "name").agg(F.min(F.struct(F.concat("path", "_step").alias("path"), "type", (F.size("path") + F.col("depth")).alias("depth"))).alias("best"))
+    return found.unionByName(best.select("class", "name", "best.type", "best.depth"))

@@ -3,7 +3,7 @@
 import random
 
 from knotwork import session
-from knotwork.operators import linking, resolve, wiring
+from knotwork.operators import linking, resolve, traverse, wiring
 
 
 def rows(df):
@@ -115,3 +115,27 @@ def test_state_readers_of_methods_with_several_ways(spark):
     found = resolve.state_readers(spark.createDataFrame(rows, "method string, class string, property string, kind string, constants array<string>"))
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_found_members_without_lineages(spark, monkeypatch):
+    """Members handed down equal those of the least paths, with several parents at different heights, rings and what is below them;
+    only classes on or below rings have lineages."""
+    rng = random.Random(8)
+    relation = lambda: rng.choice(("extends", "uses_trait"))
+    edges = sorted({(f"c{i:02}", relation(), f"c{rng.randrange(i):02}") for i in range(1, 40) for _ in range(rng.randint(0, 3))})
+    edges += [("r1", "extends", "r2"), ("r2", "uses_trait", "r1"), ("r1", "uses_trait", "c30"), ("r2", "extends", "c35"), ("s1", "extends", "r1"), ("s1", "uses_trait", "c20")]
+    members = [(rng.choice([f"c{i:02}" for i in range(40)] + ["r1", "r2", "s1", "alone"]), f"n{rng.randrange(6)}", rng.choice(("t", "u", None))) for _ in range(60)]
+    edges = spark.createDataFrame(edges, "source string, relation string, target string")
+    above = traverse.ranked_lineage(edges, ("extends", "uses_trait"))
+    paths = {(r.start, r.id): [(s.rank, s.to) for s in r.path] for r in above.collect()} | {(m[0], m[0]): [] for m in members}
+    want = {}
+    for (start, at), path in paths.items():
+        for owner, name, kind in members:
+            if owner == at:
+                want[start, name] = min(want.get((start, name), ([(9, "")], (True, ""))), (path, (kind is not None, kind or "")))
+    asked = []
+    monkeypatch.setattr(wiring, "ranked_lineage", lambda e, r: asked.extend(x.source for x in e.collect()) or traverse.ranked_lineage(e, r))
+    got = wiring.found_members(spark.createDataFrame(members, "class string, name string, type string"), edges)
+    found = {(r["class"], r.name): (r.depth, r.type or "") for r in got.collect()}
+    assert found == {key: (len(path), kind) for key, (path, (_, kind)) in want.items()} and got.count() == len(found)
+    assert set(asked) == {"r1", "r2", "s1"}
